@@ -22,7 +22,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes of text that one numpy step handles; a longer document is one step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
 

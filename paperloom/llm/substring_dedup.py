@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, discard, doc_of, materialize, mix, pick, slices, text_bytes, text_column, word_hashes, words
 
 WINDOW, GRAM = 35, 8
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 SHARD_ANCHORS = 1 << 18
 #: Rows and counters per row of the count-min sketch of one shard.
 SKETCH_ROWS, SKETCH_BITS = 4, 20
