@@ -244,7 +244,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> D
     discard(rows)
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("_paperloom_row", F.monotonically_increasing_id())
-    return flat.join(chosen, "_paperloom_row", "left_semi").drop("_paperloom_row").toDF(*names)
+    # A broadcast would hold where the list is small only; one way at every size.
+    return flat.join(chosen.hint("merge"), "_paperloom_row", "left_semi").drop("_paperloom_row").toDF(*names)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
