@@ -122,6 +122,14 @@ def _key(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
     return mix(anchor ^ (content * np.uint64(0x9FB21C651E98DF25)))
 
 
+def _shards(anchor: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Shards of sorted anchors (their leading bits), in order, and the number of
+    anchors in each; only shards that occur, so the work follows the anchors."""
+    shard = (anchor >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(anchor), np.int64)
+    kept, n = np.unique(shard, return_counts=True)
+    return kept.tolist(), n.tolist()
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and number of each distinct key."""
     _, at, n = np.unique(key, return_index=True, return_counts=True)
@@ -155,17 +163,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 b = _Blocks(_unpack(blob.as_py()), window, gram)
                 anchor, n = np.unique(b.anchor, return_counts=True)
-                shard = (anchor >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(anchor), np.int64)
-                cuts = np.searchsorted(shard, np.arange((1 << shard_bits) + 1))
+                kept, size = _shards(anchor, shard_bits)
+                cuts = np.r_[0, np.cumsum(size, dtype=np.int64)].tolist()
+                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
                 low, twice = anchor.astype(np.uint32), n > 1
-                kept = [k for k in range(1 << shard_bits) if cuts[k] < cuts[k + 1]]
                 if kept:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(kept, pa.int32()),
                             pa.array([chunk] * len(kept), pa.int64()),
-                            pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in kept], pa.binary()),
-                            pa.array([np.packbits(twice[cuts[k] : cuts[k + 1]]).tobytes() for k in kept], pa.binary()),
+                            pa.array([low[x:y].tobytes() for x, y in parts], pa.binary()),
+                            pa.array([np.packbits(twice[x:y]).tobytes() for x, y in parts], pa.binary()),
                         ],
                         ["shard", "chunk", "cells", "twice"],
                     )
@@ -190,8 +198,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
             for i in range(batch.num_rows):
                 b = _Blocks(_unpack(batch.column(1)[i].as_py()), window, gram)
                 anchor = np.unique(b.anchor)
-                shard = (anchor >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(anchor), np.int64)
-                size = np.bincount(shard, minlength=1 << shard_bits)
+                size = dict(zip(*_shards(anchor, shard_bits), strict=True))
                 bits = [np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=size[x["shard"]]) for x in batch.column(2)[i].as_py()]
                 hot = anchor[np.concatenate(bits).astype(bool)] if bits else anchor[:0]
                 keep = np.flatnonzero(np.isin(b.anchor, hot))
