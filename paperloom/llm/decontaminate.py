@@ -141,7 +141,8 @@ def _hits_by_join(split: DataFrame, windows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs. Beyond
-    ``max_keys`` windows ``docs`` must read the same files each time."""
+    ``max_keys`` windows the rows are written once with a number each: numbers
+    given anew at each read would change with the executors there are."""
     windows = materialize(benchmark_windows(bench, window), "windows")
     keys = _bounded_keys(windows, max_keys)
     names = docs.columns
@@ -150,7 +151,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, m
     if keys is not None:
         clean = flat.withColumn("_w", _once(normal_words(text))).withColumn("_clean", _once(F.size(_hits_in_row(F.col("_w"), keys)) == 0)).where("_clean").drop("_w", "_clean")
     else:
-        flat = flat.withColumn("_row", F.monotonically_increasing_id())
+        flat = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         split = flat.select(F.col("_row").alias("row"), F.col("_row").alias("doc_id"), normal_words(text).alias("w"))
         bad = materialize(_hits_by_join(split, windows).where(F.size("hits") > 0).select(F.col("row").alias("_row")), "contaminated")
         clean = flat.join(bad, "_row", "left_anti").drop("_row")
@@ -162,9 +163,12 @@ def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_ke
     normalised words joined by one space. Texts without a hit stay as they are."""
     windows = materialize(benchmark_windows(bench, window), "windows")
     keys = _bounded_keys(windows, max_keys)
-    if keys is None:
-        raise ValueError("span removal needs a benchmark within max_keys windows; use drop_contaminated")
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("w", _once(normal_words("text"))).withColumn("hits", _hits_in_row(F.col("w"), keys))
+    rows = pick(docs, doc_id=doc_id, text=text).withColumn("w", _once(normal_words("text")))
+    if keys is not None:
+        rows = rows.withColumn("hits", _hits_in_row(F.col("w"), keys))
+    else:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+        rows = rows.join(_hits_by_join(rows, windows).select("row", "hits"), "row")
     inside = lambda i: F.exists("hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"]))
     kept = F.array_join(F.filter("w", lambda _, i: ~inside(i)), " ")
     return rows.select("doc_id", F.when(F.size("hits") > 0, kept).otherwise(F.col("text")).alias("text"))
