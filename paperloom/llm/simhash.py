@@ -6,7 +6,11 @@ documents reachable over links form a group.
 
 The 64 bits are cut into five blocks; of two linked fingerprints at least two
 blocks agree, so each distinct fingerprint is dealt to the ten pairs of blocks.
-Fingerprints that share a pair of blocks form a binary trie over their sorted
+A bucket of more than ``most`` fingerprints is dealt again by its remaining bits
+(cut into one part more than the budget, of which one must agree), until none is
+left. After four such rounds at most 14 bits are free, which have 16,384 values,
+so what a task holds is bounded by the bits, not by the data.
+Fingerprints that share a bucket form a binary trie over their sorted
 values. Pairs of nodes are traversed together: the bits their prefixes differ in
 are accumulated, a pair is dropped once they exceed the budget, or when both
 nodes already lie wholly in one component. Each trie yields at most one edge
@@ -32,13 +36,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, discard, materialize, pick, slices, words
+from .common import LOWER, materialize, pick, slices, words
 from .components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 _CUTS = (0, 13, 26, 39, 52, 64)
 _LEAF = 32
+#: Fingerprints that one task takes together; a bucket of more is dealt again.
+MOST = 1 << 17
 
 
 def _masks(budget: int) -> list[int]:
@@ -82,9 +89,9 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) ->
     return np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
-def with_fingerprint(source: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """All columns but the text, and ``fp``. ``source`` has plain column names."""
-    rest = [f for f in source.schema.fields if f.name != text]
+def with_fingerprint(source: DataFrame, text: str = "text", shingle: int = SHINGLE, with_text: bool = False) -> DataFrame:
+    """All columns, the text only ``with_text``, and ``fp``. ``source`` has plain column names."""
+    rest = [f for f in source.schema.fields if with_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +99,7 @@ def with_fingerprint(source: DataFrame, text: str = "text", shingle: int = SHING
                 fp = pa.array(fingerprints(data, offs, shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(f.name)) for f in rest), fp], [*(f.name for f in rest), "fp"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "fp long"]))
+    return source.mapInArrow(run, StructType([*rest, StructField("fp", LongType())]))
 
 
 # ------------------------------------------------------------------ trie join
@@ -170,12 +177,42 @@ def _edges_of(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return v[at], v[comp[at]]
 
 
-def trie_edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _parts(mask: int, n: int) -> list[int]:
+    """``mask`` with each of ``n`` parts of the bits it lacks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[i::n]) for i in range(n)]
+
+
+def trie_edges(distinct: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within the budget.
-    ``distinct``: fp, each value once."""
+    ``distinct``: fp, each value once, in a table that is cheap to read again."""
+    if most < 1 << (budget + 1):
+        raise ValueError("most must be at least 2 to the power of budget + 1")
     masks = _masks(budget)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])).alias("d")).select("fp", "d.t", "d.k")
+    dealt = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    dealt, edges = dealt.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))), None
+    while True:
+        crowded = dealt.groupBy("mask", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mask", "k")
+        crowded = materialize(crowded, "crowded")
+        if crowded.isEmpty():
+            found = _bucket_edges(dealt, budget)
+            return found if edges is None else edges.unionByName(found)
+        found = materialize(_bucket_edges(dealt.join(crowded, ["mask", "k"], "left_anti"), budget), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        # At most 10 * 4^4 masks for a budget of three: after four rounds no bucket can be crowded.
+        finer = {m: _parts(m, budget + 1) for m in masks}
+        table = distinct.sparkSession.createDataFrame([(_signed(m), _signed(p)) for m, ps in finer.items() for p in ps], "mask long, part long")
+        again = dealt.join(crowded, ["mask", "k"], "left_semi").join(F.broadcast(table), "mask").select("fp", F.col("part").alias("mask")).distinct()
+        dealt = materialize(again.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))), "dealt")
+        masks = sorted({p for ps in finer.values() for p in ps})
+
+
+def _bucket_edges(dealt: DataFrame, budget: int) -> DataFrame:
+    """Edges within the buckets (mask, k) of ``dealt``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -208,7 +245,7 @@ def trie_edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
             rest = [t[n:], k[n:], fp[n:]]
         yield from emit(*rest)
 
-    groups = dealt.select(F.col("t").cast("long"), "k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
+    groups = dealt.select("mask", "k", "fp").repartition("mask", "k").sortWithinPartitions("mask", "k")
     return groups.mapInArrow(run, "a long, b long")
 
 
@@ -231,21 +268,21 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each group
-    the row of least doc_id stays (the first of several). ``docs`` must read the
-    same files each time it is read, since rows are told apart by place."""
-    source = pick(docs, doc_id="doc_id", text="text").withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(with_fingerprint(source, shingle=shingle), "simhash")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    the row of least doc_id stays (the first of several). Rows are written once
+    with a number each and read from there: numbers given anew at each read would
+    change with the executors there are."""
+    names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    doc_id, text = (f"_{names.index(n)}" for n in ("doc_id", "text"))
+    rows = materialize(with_fingerprint(flat, text, shingle, with_text=True), "simhash")
+    best = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "row")
     # one row per fingerprint is enough to choose from: (none, id, row) orders them
     firsts = rows.groupBy("fp").agg(F.min(best).alias("best"))
     roots = components(trie_edges(firsts.select("fp"), budget))
     chosen = firsts.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    chosen = materialize(chosen.select(F.col("best.row").alias("_paperloom_row")), "chosen")
-    discard(rows)
-    names = docs.columns
-    flat = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("_paperloom_row", F.monotonically_increasing_id())
+    chosen = materialize(chosen.select("best.row"), "chosen")
     # A broadcast would hold where the list is small only; one way at every size.
-    return flat.join(chosen.hint("merge"), "_paperloom_row", "left_semi").drop("_paperloom_row").toDF(*names)
+    return rows.join(chosen.hint("merge"), "row", "left_semi").select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

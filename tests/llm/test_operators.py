@@ -100,6 +100,56 @@ def test_trie_finds_every_component():
     assert len(set(zip(comp.tolist(), got.tolist(), strict=True))) == len(set(comp.tolist())) == len(set(got.tolist()))
 
 
+def test_crowded_buckets_are_dealt_again_without_loss(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    near = [c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (5, 150), dtype=np.uint64)) for c in centre]
+    low = np.arange(0, 4096, 5, dtype=np.uint64) << np.uint64(7)  # all in one bucket, many links
+    v = np.unique(np.concatenate([*near, low]))
+    table = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    comp = np.arange(len(v))
+    linked = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
+    while True:
+        new = np.where(linked, comp[None, :], len(v)).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    at = {int(x): k for k, x in enumerate(v.view(np.int64))}
+    for most in (16, 100, simhash.MOST):
+        edges = simhash.trie_edges(table, most=most)
+        pairs = [(at[r.a], at[r.b]) for r in edges.collect()]
+        assert all(linked[a, b] or comp[a] == comp[b] for a, b in pairs)
+        got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        root = [got.get(k, k) for k in range(len(v))]
+        assert root == comp.tolist()
+
+
+def test_finer_masks_keep_every_link():
+    rng = np.random.default_rng(6)
+    masks = simhash._masks(3)
+    for _ in range(4):
+        masks = sorted({p for m in masks for p in simhash._parts(m, 4)})
+    assert min(m.bit_count() for m in masks) >= 64 - 14 and 1 << 14 <= simhash.MOST
+    for _ in range(300):
+        bits = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+        assert any(not bits & m for m in masks)
+
+
+def test_keep_one_does_not_depend_on_how_files_are_split(spark, rows, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(7).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        kept = simhash.keep_one(spark.read.parquet(path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")  # as if executors had come in between
+        got = sorted((r[0] for r in kept.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    want = {r["component_id"] for r in simhash.simhash_groups(spark.read.parquet(path)).collect()}
+    assert got == sorted(want, key=repr)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(e).collect()}
@@ -139,6 +189,14 @@ def test_decontamination(spark, docs, rows, max_keys):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     clean = decontaminate.drop_contaminated(docs, bench, max_keys=max_keys)
     assert clean.columns == docs.columns and clean.count() == sum(not x[5] for x in want)
+    without = [tuple(r) for r in decontaminate.remove_spans(docs, bench, max_keys=max_keys).collect()]
+    left = []
+    for r, x in zip(rows, want, strict=True):
+        y, gone = norm(r[1]), set()
+        for n in {len(g) for g in windows}:
+            gone |= {j for i in range(len(y) - n + 1) if tuple(y[i : i + n]) in windows for j in range(i, i + n)}
+        left.append((r[0], " ".join(t for j, t in enumerate(y) if j not in gone) if x[5] else r[1]))
+    assert sorted(without, key=repr) == sorted(left, key=repr)
 
 
 def test_packing_loses_no_token(docs, rows):
