@@ -2,7 +2,10 @@
 
 Most queries run on *decorated* pages: two pages per document, with headings,
 lists, tables, code, links and line-end variants built from the document by one
-SQL text that both engines understand.
+SQL text that both engines understand. They hold the whole text of every document
+(a null one is empty). Where a query's SQL was fixed on pages that hold the first
+700 and 900 characters only, the query of that name goes with its SQL, and
+``whole_`` and the name is the same query over the whole pages.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ SELECT doc_id, 2 AS page_number, 'doc' || CAST(doc_id AS STRING) || '.txt' AS fi
   || 'an exam-' || chr(10) || '  ple of ﬁne æther' || chr(10) || '© 2024 Some House' || chr(10) || 'left part      right part' || chr(10) || '2' || chr(10) || chr(10) || 'DISCLAIMER: none of it counts.' || chr(10) || chr(10) || substr(text, 1, 900) AS text FROM {documents} WHERE text IS NOT NULL
 ) d
 """
-_SQL_PAGES = DECORATED.format(documents="documents")
+WHOLE = DECORATED.replace(" WHERE text IS NOT NULL", "").replace("substr(text, 1, 700)", "coalesce(text, '')").replace("substr(text, 1, 900)", "coalesce(text, '')")
+_SQL_PAGES, _SQL_WHOLE = DECORATED.format(documents="documents"), WHOLE.format(documents="documents")
+#: Their SQL takes time that grows with the square of a text's words.
+_NO_WHOLE_SQL = {"ngram_hash"}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +51,12 @@ def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DECORATED, documents=_docs(spark, sf_dir))
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WHOLE, documents=_docs(spark, sf_dir))
+
+
 def _text_query(f: Callable[[Column], Column]):
-    return lambda spark, sf_dir: decorated(spark, sf_dir).select("doc_id", "page_number", f(F.col("text")).alias("out"))
+    return lambda pages: pages.select("doc_id", "page_number", f(F.col("text")).alias("out"))
 
 
 def _text_sql(expression: str) -> str:
@@ -126,8 +136,8 @@ TEXT: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "ngram_hash": (E.ngram_hash, r"sha256(array_to_string(list_sort(list_transform(range(1, len(regexp_extract_all(lower(text), '\S+')) - 1), lambda i: left(md5(array_to_string(regexp_extract_all(lower(text), '\S+')[i : i + 2], ' ')), 8))), ''))"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text_query(f) for name, (f, _) in TEXT.items()}
-ORACLES: dict[str, str] = {name: _text_sql(sql) for name, (_, sql) in TEXT.items() if sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -140,52 +150,72 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def page_query(name: str, sql: str | None = None):
+    """Registers a function of decorated pages."""
+
+    def register(f: Callable[[DataFrame], DataFrame]):
+        if sql is None:
+            QUERIES[name] = lambda spark, sf_dir: f(whole(spark, sf_dir))
+            return f
+        QUERIES[name], ORACLES[name] = lambda spark, sf_dir: f(decorated(spark, sf_dir)), sql
+        QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(whole(spark, sf_dir))
+        if name not in _NO_WHOLE_SQL:
+            ORACLES[f"whole_{name}"] = sql.replace(_SQL_PAGES, _SQL_WHOLE)
+        return f
+
+    return register
+
+
+for _name, (_f, _sql) in TEXT.items():
+    page_query(_name, _text_sql(_sql) if _sql else None)(_text_query(_f))
+
+
 # ------------------------------------------------------------------ documents
 
 
-@query("document_rollup", f"""WITH p AS ({_SQL_PAGES}), m AS (SELECT *, {_ALL(r"(?i)(?:https?|ftp)://\S+|www\.\S+")} AS u, ({_TOC}) AS toc, {_HEADINGS} AS h FROM p)
+@page_query("document_rollup", f"""WITH p AS ({_SQL_PAGES}), m AS (SELECT *, {_ALL(r"(?i)(?:https?|ftp)://\S+|www\.\S+")} AS u, ({_TOC}) AS toc, {_HEADINGS} AS h FROM p)
 SELECT doc_id, count(*) AS total_pages, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS total_chars, array_to_string(list_sort(list_distinct(flatten(list(u)))), chr(31)) AS all_urls,
 array_to_string(list_sort(list_distinct(flatten(list(h)))), chr(31)) AS all_headings, bool_or(toc) AS has_toc, array_to_string(list_sort(list(page_number) FILTER (WHERE toc)), ',') AS toc_pages FROM m GROUP BY doc_id""")
-def document_rollup(spark, sf_dir):
-    d = X.document_metadata(X.page_metadata(decorated(spark, sf_dir)))
-    pages = F.col("toc_page_numbers").cast("array<string>")
-    return d.select("doc_id", "total_pages", "total_chars", _JOINED(F.col("all_urls")).alias("all_urls"), _JOINED(F.col("all_headings")).alias("all_headings"), "has_toc", F.when(F.size(pages) > 0, F.array_join(pages, ",")).alias("toc_pages"))
+def document_rollup(pages):
+    d = X.document_metadata(X.page_metadata(pages))
+    toc = F.col("toc_page_numbers").cast("array<string>")
+    return d.select("doc_id", "total_pages", "total_chars", _JOINED(F.col("all_urls")).alias("all_urls"), _JOINED(F.col("all_headings")).alias("all_headings"), "has_toc", F.when(F.size(toc) > 0, F.array_join(toc, ",")).alias("toc_pages"))
 
 
-@query("page_range", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM p GROUP BY doc_id")
-def page_range(spark, sf_dir):
-    return X.page_range(decorated(spark, sf_dir), 1, 2)
+@page_query("page_range", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM p GROUP BY doc_id")
+def page_range(pages):
+    return X.page_range(pages, 1, 2)
 
 
-@query("page_filter", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number FROM p WHERE NOT ({_TOC})")
-def page_filter(spark, sf_dir):
-    return N.filter_pages(X.page_metadata(decorated(spark, sf_dir)), NormalizeConfig()).select("doc_id", "page_number")
+@page_query("page_filter", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number FROM p WHERE NOT ({_TOC})")
+def page_filter(pages):
+    return N.filter_pages(X.page_metadata(pages), NormalizeConfig()).select("doc_id", "page_number")
 
 
-@query("own_page_number", r"WITH p AS (" + _SQL_PAGES + r""") SELECT doc_id, page_number, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*-?\s*' || page_number || '\s*-?\s*$', '', 'g'), '(?im)^\s*Page\s+' || page_number || '\s*$', '', 'g'), '(?im)^\s*' || page_number || '\s+of\s+\d+\s*$', '', 'g') AS out FROM p""")
-def own_page_number(spark, sf_dir):
-    return decorated(spark, sf_dir).select("doc_id", "page_number", N.remove_own_page_number(F.col("text"), F.col("page_number")).alias("out"))
+@page_query("own_page_number", r"WITH p AS (" + _SQL_PAGES + r""") SELECT doc_id, page_number, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*-?\s*' || page_number || '\s*-?\s*$', '', 'g'), '(?im)^\s*Page\s+' || page_number || '\s*$', '', 'g'), '(?im)^\s*' || page_number || '\s+of\s+\d+\s*$', '', 'g') AS out FROM p""")
+def own_page_number(pages):
+    return pages.select("doc_id", "page_number", N.remove_own_page_number(F.col("text"), F.col("page_number")).alias("out"))
 
 
-@query("listed_urls", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number, list_reduce(list_prepend(text, list_sort(list_distinct({_ALL(r'(?i)(?:https?|ftp)://\S+|www\.\S+')}))), lambda a, u: replace(a, u, '')) AS out FROM p")
-def listed_urls(spark, sf_dir):
-    return X.page_metadata(decorated(spark, sf_dir)).select("doc_id", "page_number", N.remove_listed_urls(F.col("text"), F.col("urls")).alias("out"))
+@page_query("listed_urls", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number, list_reduce(list_prepend(text, list_sort(list_distinct({_ALL(r'(?i)(?:https?|ftp)://\S+|www\.\S+')}))), lambda a, u: replace(a, u, '')) AS out FROM p")
+def listed_urls(pages):
+    return X.page_metadata(pages).select("doc_id", "page_number", N.remove_listed_urls(F.col("text"), F.col("urls")).alias("out"))
 
 
-@query("normalize_pages")
-def normalize_pages(spark, sf_dir):
-    out = N.normalize_pages(X.page_metadata(decorated(spark, sf_dir)))
+@page_query("normalize_pages")
+def normalize_pages(pages):
+    out = N.normalize_pages(X.page_metadata(pages))
     return out.select("doc_id", "page_number", "normalized_text", "original_char_count", "normalized_char_count", *[_JOINED(F.col(c)).alias(c) for c in ("removed_urls", "removed_page_numbers", "protected_elements", "changes_applied", "warnings")])
 
 
-@query("normalization_stats")
-def normalization_stats(spark, sf_dir):
-    return N.normalization_stats(N.normalize_pages(X.page_metadata(decorated(spark, sf_dir))))
+@page_query("normalization_stats")
+def normalization_stats(pages):
+    return N.normalization_stats(N.normalize_pages(X.page_metadata(pages)))
 
 
-@query("assemble_document")
-def assemble_document(spark, sf_dir):
-    return N.assemble(N.normalize_pages(X.page_metadata(decorated(spark, sf_dir))))
+@page_query("assemble_document")
+def assemble_document(pages):
+    return N.assemble(N.normalize_pages(X.page_metadata(pages)))
 
 
 # --------------------------------------------------------------------- chunks
@@ -226,14 +256,14 @@ def _overlapped(spark, sf_dir, config):
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.col("overlap_with_previous").cast("long").alias("overlap_with_previous"))
 
 
-@query("chunk_structured")
-def chunk_structured(spark, sf_dir):
-    return C.chunk(decorated(spark, sf_dir)).select("chunk_id", "page_number_start", "section_title", F.array_join("heading_path", " > ").alias("path"), "boundary_type", "normalized_text", "contains_tables", "contains_code", "contains_bullets")
+@page_query("chunk_structured")
+def chunk_structured(pages):
+    return C.chunk(pages).select("chunk_id", "page_number_start", "section_title", F.array_join("heading_path", " > ").alias("path"), "boundary_type", "normalized_text", "contains_tables", "contains_code", "contains_bullets")
 
 
-@query("chunk_marked_text")
-def chunk_marked_text(spark, sf_dir):
-    text = N.assemble(N.normalize_pages(X.page_metadata(decorated(spark, sf_dir))))
+@page_query("chunk_marked_text")
+def chunk_marked_text(pages):
+    text = N.assemble(N.normalize_pages(X.page_metadata(pages)))
     return C.split_marked(text.withColumn("file_name", F.lit("all.txt"))).select("doc_id", "page_number", "text")
 
 
@@ -280,28 +310,28 @@ def duplicate_groups(spark, sf_dir):
     return g.withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
-def _recs(spark, sf_dir):
-    return E.prepare(C.chunk(decorated(spark, sf_dir)), custom={"origin": "test"})
+def _recs(pages):
+    return E.prepare(C.chunk(pages), custom={"origin": "test"})
 
 
-@query("payload_full")
-def payload_full(spark, sf_dir):
-    return E.payload(_recs(spark, sf_dir)).withColumns({"metadata": F.to_json("metadata"), "heading_path": F.array_join("heading_path", " > ")})
+@page_query("payload_full")
+def payload_full(pages):
+    return E.payload(_recs(pages)).withColumns({"metadata": F.to_json("metadata"), "heading_path": F.array_join("heading_path", " > ")})
 
 
-@query("payload_flat")
-def payload_flat(spark, sf_dir):
-    return E.flat_payload(_recs(spark, sf_dir))
+@page_query("payload_flat")
+def payload_flat(pages):
+    return E.flat_payload(_recs(pages))
 
 
-@query("csv_rows")
-def csv_rows(spark, sf_dir):
-    return E.csv_rows(_recs(spark, sf_dir))
+@page_query("csv_rows")
+def csv_rows(pages):
+    return E.csv_rows(_recs(pages))
 
 
-@query("ingest_report")
-def ingest_report(spark, sf_dir):
-    return O.ingest_report(decorated(spark, sf_dir), ServiceConfig())
+@page_query("ingest_report")
+def ingest_report(pages):
+    return O.ingest_report(pages, ServiceConfig())
 
 
 @query("embed_texts")
