@@ -5,7 +5,8 @@ kept; between stages the driver writes Parquet and reads it again, so a stage's
 input reads the same however often it is read.
 
 1. ``quality``: documents the classifier scores under 0.3 go.
-2. ``near_duplicates``: of each SimHash group the document of least id stays.
+2. ``near_duplicates``: of documents linked by a similarity of 0.8 or more (five-word
+   shingles) the one of least id stays.
 3. ``decontaminate``: documents in which a benchmark window occurs go.
 4. ``secrets``: secrets are replaced by a mark; no document goes.
 5. ``packing``: pieces of documents and their place in sequences.
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate as _decontaminate
+from paperloom.llm import minhash as _minhash
 from paperloom.llm import packing as _packing
 from paperloom.llm import quality_classifier as _quality
 from paperloom.llm import secrets as _secrets
-from paperloom.llm import simhash as _simhash
 from paperloom.llm.common import materialize
 
 
@@ -30,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _simhash.keep_one(docs)
+    return _minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

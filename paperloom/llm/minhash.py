@@ -1,0 +1,154 @@
+"""Near-duplicates by similarity of shingle sets, found by MinHash, decided exactly.
+
+Documents are linked when their sets of ``shingle``-word shingles have a Jaccard
+similarity of ``similarity`` or more; documents reachable over links form a
+group. Signatures only propose pairs: of 80 minima four each make 20 band keys,
+and two documents that share a key are compared. A pair of similarity 0.8 shares
+none with a probability of 3e-5, more similar ones more rarely. Every proposed
+pair that could join two groups is decided on the sets themselves (64-bit hashes
+of shingles).
+
+Documents of the same words are collapsed before anything is dealt. Pairs are
+taken in three steps, so that a large group is not compared pair by pair: each
+document with the first of its bucket, then with ``REPS`` others of it where
+groups are still apart, then all pairs of different groups that share a key. The
+last step is as large as the number of such pairs: a bucket of many documents
+that are alike, but under the threshold, is compared pair by pair.
+
+Edge cases: null and empty texts have an empty set and are copies of each other;
+fewer words than ``shingle`` are one shingle; an empty table gives an empty
+result; of equal doc_ids the first row counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from .common import LOWER, materialize, mix, slices, word_hashes, words
+from .components import components
+
+SHINGLE, SIMILARITY, BANDS, ROWS, REPS = 5, 0.8, 20, 4, 8
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each shingle, and the index of each document's first (n + 1 values)."""
+    data = LOWER[data]
+    s, e, begins = words(data, offs)
+    w = word_hashes(data, s, e)
+    n_words = np.diff(begins)
+    n = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
+    first = np.zeros(len(offs), np.int64)
+    np.cumsum(n, out=first[1:])
+    doc = np.repeat(np.arange(len(n)), n)
+    start = begins[doc] + np.arange(first[-1]) - first[doc]
+    h = np.zeros(len(doc), np.uint64)
+    for j in range(shingle):
+        there = j < n_words[doc]
+        h = np.where(there, mix(h ^ w[np.where(there, start + j, 0)]), h)
+    return h, first
+
+
+def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each document's whole text, and its band keys (a row of BANDS)."""
+    key = np.fromiter((xxhash.xxh64_intdigest(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)), np.uint64, len(first) - 1)
+    bands = np.zeros((len(key), BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        for k, factor in enumerate(_FACTORS):
+            least = mix(np.minimum.reduceat(h * factor, first[some]))
+            bands[some, k // ROWS] = mix(bands[some, k // ROWS] ^ least ^ np.uint64(k + 1))
+    return key, bands
+
+
+def with_signature(source: DataFrame, text: str) -> DataFrame:
+    """All columns, ``fp`` (key of the text) and ``bands``."""
+    names = source.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offs in slices(batch, text):
+                h, first = shingle_hashes(data, offs)
+                key, bands = signatures(h, first)
+                at = np.arange(len(key) + 1, dtype=np.int32) * BANDS
+                at[1:] -= BANDS * np.cumsum(np.diff(first) == 0).astype(np.int32)  # no bands without shingles
+                flat = bands[np.diff(first) > 0].reshape(-1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*names, "fp", "bands"])
+
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]))
+
+
+def _sets(rows: DataFrame, text: str) -> DataFrame:
+    """fp and the set of shingles. ``rows``: fp and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in slices(batch, text):
+                h, first = shingle_hashes(data, offs)
+                sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+                at = np.zeros(len(first), np.int32)
+                np.cumsum([len(x) for x in sets], out=at[1:])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("fp")), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
+
+    return rows.mapInArrow(run, "fp long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar. Documents of no pair are not read."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts.select("fp", "best.row"), "fp").select("row")
+    sets = materialize(_sets(rows.join(nodes.hint("merge"), "row", "left_semi").select("fp", text), text), "sets")
+    x = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return materialize(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b"), "alike")
+
+
+def links(firsts: DataFrame, rows: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """node and root of all documents that are not a root. ``firsts``: fp,
+    bands, best.row; ``rows``: row, fp, text."""
+    dealt = firsts.select("fp", F.explode("bands").alias("key"))
+    least = dealt.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    dealt = materialize(dealt.join(least.hint("merge"), "key"), "dealt")
+    pairs = materialize(dealt.where("a != fp").select("a", F.col("fp").alias("b")).distinct(), "pairs")
+    edges = _alike(pairs, firsts, rows, text, similarity)
+    for step in ("some", "all"):
+        roots = materialize(components(edges), "roots")
+        placed = dealt.select("key", "fp").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        placed = materialize(placed.join(apart.hint("merge"), "key", "left_semi"), "placed")
+        other = placed.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
+        if step == "some":
+            by = Window.partitionBy("key").orderBy(F.xxhash64("other", "key"))
+            other = other.withColumn("n", F.row_number().over(by)).where(F.col("n") <= REPS).drop("n")
+            apart_pair = F.col("root") != F.col("other_root")
+        else:
+            apart_pair = F.col("root") < F.col("other_root")  # each pair once
+        met = placed.join(other.hint("merge"), "key").where(apart_pair)
+        new = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+        new = materialize(new.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(new)
+        edges = edges.unionByName(_alike(new, firsts, rows, text, similarity))
+    return components(edges)
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each group
+    the row of least doc_id stays (the first of several). Rows are written once
+    with a number each and read from there, as in ``simhash.keep_one``."""
+    names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    doc_id, text = (f"_{names.index(n)}" for n in ("doc_id", "text"))
+    rows = materialize(with_signature(flat, text), "minhash")
+    best = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "row")
+    firsts = materialize(rows.groupBy("fp").agg(F.min(best).alias("best"), F.first("bands").alias("bands")), "firsts")
+    roots = links(firsts, rows, text, similarity)
+    chosen = firsts.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    chosen = materialize(chosen.select("best.row"), "chosen")
+    return rows.join(chosen.hint("merge"), "row", "left_semi").select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
