@@ -10,13 +10,15 @@ decreasing, where a tournament tree over the bins' free space finds the first
 bin that fits in logarithmic time. Rows are told apart by place, so copies and
 repeated ids are packed like any other document.
 
-Edge cases: a null or empty text is the single end id; an empty table gives an
+Edge cases: a null or empty text is the single end id; a text with an added
+token of the tokenizer written out in it is encoded whole; an empty table gives an
 empty result; other columns are ignored. Memory follows a group, or a slice of
 text or one longer document.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +46,8 @@ _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 3
 def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges that are tokenised independently: runs without ASCII white space,
     cut further between letters, digits and punctuation of ASCII and Latin-1.
-    Nothing is cut beside an apostrophe or any other character."""
+    Nothing is cut beside an apostrophe or any other character. Texts with an
+    added token of the tokenizer in them are not for this (see ``Encoder``)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -75,7 +78,9 @@ class Encoder:
 
     ``independent``: the tokenizer drops white space, lower-cases, and never
     joins letters with digits or punctuation, so that units may be encoded one
-    by one; otherwise whole texts are encoded.
+    by one; otherwise whole texts are encoded. Texts that hold the content of an
+    added token (in any case, if it is matched after normalising) are encoded
+    whole always: such tokens are matched across units.
     """
 
     def __init__(self, path: str, independent: bool = True) -> None:
@@ -83,12 +88,24 @@ class Encoder:
 
         self.tokenizer, self.independent = Tokenizer.from_file(path), independent
         self.known: dict[int, np.ndarray] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        either = lambda tokens: re.compile(b"|".join(re.escape(t) for t in tokens)) if tokens else None
+        self.raw = either([t.content.encode() for t in added if not t.normalized])
+        self.normalized = either([bytes(LOWER[np.frombuffer(t.content.encode(), np.uint8)]) for t in added if t.normalized])
+
+    def _with_added(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Documents in which an added token may occur."""
+        at = [m.start() for m in self.raw.finditer(data.tobytes())] if self.raw else []
+        at += [m.start() for m in self.normalized.finditer(LOWER[data].tobytes())] if self.normalized else []
+        return np.unique(np.searchsorted(offs, at, "right") - 1).tolist()
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray, i: int) -> list[int]:
+        return self.tokenizer.encode(data[offs[i] : offs[i + 1]].tobytes().decode(), add_special_tokens=False).ids
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the index of each document's first id (n + 1 values)."""
         if not self.independent:
-            flat = data.tobytes()
-            got = [self.tokenizer.encode(flat[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            got = [self._whole(data, offs, i) for i in range(len(offs) - 1)]
             begins = np.zeros(len(offs), np.int64)
             np.cumsum([len(x) for x in got], out=begins[1:])
             return np.fromiter((i for x in got for i in x), np.uint32, begins[-1]), begins
@@ -119,7 +136,16 @@ class Encoder:
         n = size[inverse]
         to = np.cumsum(n)
         ids = pool[np.arange(to[-1] if len(to) else 0) + np.repeat(start[inverse] - (to - n), n)]
-        return ids, np.r_[0, to][first]
+        begins = np.r_[0, to][first]
+        whole = self._with_added(data, offs)
+        if not whole:
+            return ids, begins
+        size, parts, done = np.diff(begins), [], 0
+        for i in whole:
+            own = np.array(self._whole(data, offs, i), np.uint32)
+            parts += [ids[done : begins[i]], own]
+            size[i], done = len(own), begins[i + 1]
+        return np.concatenate([*parts, ids[done:]]), np.r_[0, np.cumsum(size)]
 
 
 @lru_cache(maxsize=2)
