@@ -2,7 +2,11 @@
 
 Patterns find assignments, access keys and long hexadecimal runs. Further
 candidates are runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with at
-least one letter and one digit. A candidate's encoding (hexadecimal, base32,
+least one letter and one digit. A run that fits no alphabet is cut at ``=``; a
+part that has ``+`` or ``/`` and also ``-`` or ``_`` is cut at either pair of
+these, since any of them may be what separates (``NAME=key``, ``path/key``), and
+each piece of 20 or more characters is a candidate; of found pieces within each
+other the longest is the span. A candidate's encoding (hexadecimal, base32,
 base36, base62, base64) is inferred from its characters, and its symbols are
 tested for what random keys have: a chi-squared test that the alphabet is used
 uniformly, a runs test about the middle of the alphabet, and a serial
@@ -107,19 +111,32 @@ def battery(symbols: np.ndarray, k: int) -> float:
     return _NORMAL.cdf(z)
 
 
+def _pieces(text: str, start: int, end: int) -> set[tuple[int, int]]:
+    """Ranges of a run that fit an alphabet each."""
+    token = text[start:end].rstrip("=")
+    bare = token.lstrip("-_=+/")
+    a = start + len(token) - len(bare)
+    b = a + len(bare)
+    if len(bare) < LEAST:
+        return set()
+    if encoding(bare):
+        return {(a, b)}
+    out = set()
+    for mark in ("=",) if "=" in bare else ("/+", "-_"):
+        for m in re.finditer(f"[^{re.escape(mark)}]+", bare):
+            out |= _pieces(text, a + m.start(), a + m.end())
+    return out
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str, float]]:
     """start, end, class and p-value of each candidate."""
-    for m in _RUN.finditer(text):
-        token = m[0].rstrip("=")
-        bare = token.lstrip("-_=+/")
-        at = m.start() + len(token) - len(bare)
-        if len(bare) < LEAST or not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
+    for at, to in (piece for m in _RUN.finditer(text) for piece in sorted(_pieces(text, *m.span()))):
+        bare = text[at:to]
+        if not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
             continue
         name = encoding(bare)
-        if name is None:
-            continue
         symbols = np.fromiter((_PLACES[name][c] for c in bare), np.int64, len(bare))
-        yield at, at + len(bare), f"{name}/{min(int(log2(len(bare) / LEAST) * 2), 8)}", battery(symbols, len(ALPHABETS[name]))
+        yield at, to, f"{name}/{min(int(log2(len(bare) / LEAST) * 2), 8)}", battery(symbols, len(ALPHABETS[name]))
 
 
 def thresholds(histogram: dict[tuple[str, int], int], rate: float) -> dict[str, float]:
@@ -176,6 +193,7 @@ def all_spans(text: str, limits: dict[str, float]) -> tuple[list[Span], list[Spa
     """The patterns' spans, and those with what the battery adds."""
     base = base_spans(text)
     more = [(a, b, 3) for a, b, name, p in candidates(text) if p >= limits.get(name, 2.0) and not any(x < b and a < y for x, y, _ in base)]
+    more = [s for s in more if not any(x <= s[0] and s[1] <= y and (x, y) != s[:2] for x, y, _ in more)]
     return base, sorted(base + more, key=lambda s: (s[0], s[2]))
 
 
