@@ -85,16 +85,31 @@ def knn(points: DataFrame, query: list[float], limit: int = 10, distance: str =
     return hits.orderBy(F.asc("score") if near else F.desc("score"), key).limit(limit).drop(vector)
 
 
-def knn_each(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "Cosine", vector: str = "embedding", key: str = "point_id", most_queries: int = 10_000) -> DataFrame:
-    """query_id, key, score and rank of each query's nearest points. The queries
-    (query_id, vector) are a stated set: up to ``most_queries`` are broadcast,
-    which is checked; more are refused."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    pairs = points.select(key, F.col(vector).alias("_p")).crossJoin(F.broadcast(queries.select("query_id", F.col(vector).alias("_q"))))
-    scored = pairs.select("query_id", key, score(F.col("_p"), F.col("_q"), distance).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.asc("score") if distance == "Euclidean" else F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+def knn_each(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "Cosine", vector: str = "embedding", key: str = "point_id", most_queries: int = 10_000, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
+    """query_id, key, score and rank of each query's nearest points, among those
+    that pass the filters and the threshold. The queries (query_id, vector) are a
+    stated set, broadcast in blocks of at most ``most_queries``: consecutive runs
+    by query_id (which is unique), whose results are united."""
+    near = distance == "Euclidean"
+    kept = points.where(where_metadata(filters)).select(key, F.col(vector).alias("_p"))
+    asked = queries.select("query_id", F.col(vector).alias("_q"))
+    order = Window.partitionBy("query_id").orderBy(F.asc("score") if near else F.desc("score"), key)
+
+    def block(some: DataFrame) -> DataFrame:
+        scored = kept.crossJoin(F.broadcast(some)).select("query_id", key, score(F.col("_p"), F.col("_q"), distance).alias("score"))
+        if filters or threshold is not None:
+            scored = scored.where("score is not null")
+        if threshold is not None:
+            scored = scored.where(F.col("score") <= threshold if near else F.col("score") >= threshold)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    blocks, rest = [], asked
+    while True:
+        ends = rest.select("query_id").orderBy(F.asc_nulls_last("query_id")).offset(most_queries - 1).limit(2).collect()
+        if len(ends) < 2:
+            return reduce(DataFrame.unionByName, [*blocks, block(rest)])
+        blocks.append(block(rest.where(F.col("query_id") <= ends[0][0])))
+        rest = rest.where((F.col("query_id") > ends[0][0]) | F.col("query_id").isNull())
 
 
 def tokens(t: Column) -> Column:
