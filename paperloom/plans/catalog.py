@@ -378,6 +378,25 @@ def knn_each(spark, sf_dir):
     return V.knn_each(p, q, 10, "Dot").withColumn("score", F.round("score", 6))
 
 
+def _near_each(name, distance, expression, order, where="TRUE", **kw):
+    """A search variant over the stated query set: every row whose id is divisible by 20."""
+
+    @query(name, f"WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS point_id, label, CAST(embedding AS DOUBLE[]) AS v, qv FROM embeddings, q), c AS (SELECT query_id, point_id, label, {expression} AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, point_id) AS rank FROM c WHERE {where}) SELECT query_id, point_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+    def run(spark, sf_dir):
+        p = _points(spark, sf_dir)
+        q = p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "embedding")
+        return V.knn_each(p, q, 10, distance, **kw).withColumn("score", F.round("score", 6))
+
+    return run
+
+
+_near_each("knn_each_cosine", "Cosine", _COS, "DESC")
+_near_each("knn_each_euclidean", "Euclidean", "list_distance(v, qv)", "ASC")
+_near_each("knn_each_filtered", "Cosine", _COS, "DESC", "label = 3", filters={"label": 3})
+_near_each("knn_each_range", "Cosine", _COS, "DESC", "label >= 2 AND label < 5", filters={"label": {"gte": 2, "lt": 5}})
+_near_each("knn_each_threshold", "Cosine", _COS, "DESC", "score >= 0.2", threshold=0.2)
+
+
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\pN\p{Pc}]+'), lambda w: length(w) BETWEEN 2 AND 20)"
 
 
