@@ -251,10 +251,12 @@ def _with_nodes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums(_MARKED[data], offs) > 0
 
 
-def train_pii(docs: DataFrame, sample_docs: int = 2000) -> SkipChainCRF:
+def train_pii(docs: DataFrame, sample_docs: int = 2000, sample_spans: int = 2000) -> SkipChainCRF:
     """``docs``: text. Documents are sampled by a hash of their text, at a rate
     set by the number of documents with a digit or ``@``. Copies count once, so
-    the driver gets about ``sample_docs`` of them however often a text occurs."""
+    the driver gets about ``sample_docs`` of them however often a text occurs.
+    Sampled documents of more than ``sample_spans`` nodes are not learned from
+    (they are scanned like any other)."""
     marked = docs.where(F.col("text").rlike("[0-9@]"))
     n = marked.count()
     if not n:
@@ -268,7 +270,7 @@ def train_pii(docs: DataFrame, sample_docs: int = 2000) -> SkipChainCRF:
             out = []
             for text in batch.column(0).to_pylist():
                 g = graph(text, base_spans(text))
-                if g.spans and len(g.spans) <= 2000:
+                if g.spans and len(g.spans) <= sample_spans:
                     out.append(json.dumps([g.features, g.label.tolist(), g.edges]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["graph"])
 
@@ -278,11 +280,11 @@ def train_pii(docs: DataFrame, sample_docs: int = 2000) -> SkipChainCRF:
     return fit_crf([json.loads(x) for x in sorted(r["graph"] for r in rows)])
 
 
-def find_pii(docs: DataFrame, least: float = 0.9, sample_docs: int = 2000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, least: float = 0.9, sample_docs: int = 2000, sample_spans: int = 2000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of the patterns' findings, their
     digest, and all spans as ``kind:start:end`` in code points."""
     source = pick(docs, doc_id=doc_id, text=text)
-    crf = train_pii(source.select("text"), sample_docs)
+    crf = train_pii(source.select("text"), sample_docs, sample_spans)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
