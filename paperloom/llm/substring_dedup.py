@@ -5,8 +5,10 @@ by a window whose word sequence also starts somewhere else is removed.
 
 Method
 ------
-1. Documents are packed into compressed chunks, written once; each row keeps
-   its place in its chunk, so no later step depends on document ids.
+1. Documents are packed into compressed chunks, written once in buckets by their
+   chunk; each row keeps its place in its chunk, so no later step depends on
+   document ids, and what later steps learn goes to the chunks, which stay where
+   they are.
 2. Every window has an *anchor*: among its ``gram``-word runs, the leftmost of
    least hash. Equal windows have equal anchors at equal places, so a window
    is no more frequent than its anchor. Each chunk sends a sketch of its
@@ -23,6 +25,7 @@ Method
 
 Counts are combined inside each chunk before a shuffle, so a passage in a third
 of all documents is one row per chunk, and nothing is ever expanded to pairs.
+Anchors that many different blocks share are dealt with salt.
 Memory per task follows a chunk (``chunk_bytes``, or one longer document).
 
 Edge cases: a null text has no words; documents of fewer words than a window
@@ -42,15 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, discard, doc_of, materialize, mix, pick, slices, text_bytes, text_column, word_hashes, words
+from .common import Rolling, discard, doc_of, materialize, materialize_bucketed, mix, pick, slices, text_bytes, text_column, word_hashes, words
 
 WINDOW, GRAM = 35, 8
 CHUNK_BYTES = 3 << 20
 SHARD_ANCHORS = 1 << 18
+#: Parts into which the blocks of one anchor are dealt.
+SALTS = 8
 #: Rows and counters per row of the count-min sketch of one shard.
 SKETCH_ROWS, SKETCH_BITS = 4, 20
 _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << 30) - 1)  # a text has under 2^31 bytes, so fewer words than this
 _GRAMS, _BLOCKS, _WINDOWS = Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F), Rolling(0xE7037ED1A0B428DB)
 
 
@@ -83,8 +88,6 @@ class _Blocks:
         h = word_hashes(self.data, self.s, self.e)
         n = max(0, len(h) - window + 1)
         g = _GRAMS.grams(_GRAMS.prefix(h), gram)
-        if len(g) > int(_PLACE):
-            raise ValueError("a document of over 268 million words")
         low = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
         width, have = window - gram + 1, 1
         while have < width:  # minimum over `have` places, doubled
@@ -130,10 +133,12 @@ def _shards(anchor: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return kept.tolist(), n.tolist()
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and number of each distinct key."""
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return at, n
+def _distinct(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place and the number of each distinct pair."""
+    order = np.lexsort((content, anchor))
+    a, c = anchor[order], content[order]
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return order[cut], np.diff(np.r_[cut, len(a)])
 
 
 def _numbers(column: pa.Array, row: int, field: str, kind=np.uint64) -> np.ndarray:
@@ -154,7 +159,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     source = pick(docs, doc_id=doc_id, text=text)
-    chunks = materialize(source.mapInArrow(_pack, "chunk long, n_words long, blob binary"), "chunks")
+    chunks = materialize_bucketed(source.mapInArrow(_pack, "chunk long, n_words long, blob binary"), "chunks", "chunk")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     shard_bits = max(0, int(2 * total / (window - gram + 2) / SHARD_ANCHORS).bit_length())
 
@@ -202,16 +207,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
                 bits = [np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=size[x["shard"]]) for x in batch.column(2)[i].as_py()]
                 hot = anchor[np.concatenate(bits).astype(bool)] if bits else anchor[:0]
                 keep = np.flatnonzero(np.isin(b.anchor, hot))
-                at, n = _distinct(_key(b.anchor[keep], b.content[keep]))
+                at, n = _distinct(b.anchor[keep], b.content[keep])
                 keep = keep[at]
                 yield pa.RecordBatch.from_arrays([_signed(b.anchor[keep]), _signed(b.content[keep]), pa.array(np.full(len(keep), batch.column(0)[i].as_py(), np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "content", "chunk", "n"])
 
-    blocks = materialize(chunks.select("chunk", "blob").join(answers, "chunk").mapInArrow(exact, "anchor long, content long, chunk long, n int"), "blocks")
+    blocks = materialize(chunks.select("chunk", "blob").join(answers.hint("shuffle_hash"), "chunk").mapInArrow(exact, "anchor long, content long, chunk long, n int"), "blocks")
     discard(answers)
     groups = materialize(blocks.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")), "groups")
     whole = blocks.join(groups.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("chunk", "anchor", "content", F.lit(-1).alias("mask"))
-    several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    several = groups.join(several, "anchor").select("chunk", "anchor", "content", (F.col("n") > 1).alias("whole"))
+    several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.col("content"), F.lit(SALTS)).cast("int")
+    several = groups.withColumn("salt", salt).join(several, ["anchor", "salt"]).select("chunk", "anchor", "content", (F.col("n") > 1).alias("whole"))
     listed = several.groupBy("chunk").agg(F.collect_list(F.struct("anchor", "content", "whole")).alias("listed"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +235,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
                     ["anchor", "hash", "whole", "chunk", "content", "place"],
                 )
 
-    rows = materialize(chunks.select("chunk", "blob").join(listed, "chunk").mapInArrow(expand, "anchor long, hash long, whole boolean, chunk long, content long, place int"), "windows")
+    rows = materialize(chunks.select("chunk", "blob").join(listed.hint("shuffle_hash"), "chunk").mapInArrow(expand, "anchor long, hash long, whole boolean, chunk long, content long, place int"), "windows")
     again = rows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("k"), F.max("whole").alias("any")).where("k > 1 or any").select("anchor", "hash")
     bit = F.expr("shiftleft(1L, place)") if window - gram < 62 else None
     if bit is None:
         raise ValueError("window - gram must be under 62")
     parts = rows.where(~F.col("whole")).join(again, ["anchor", "hash"]).groupBy("chunk", "anchor", "content").agg(F.bit_or(bit).alias("mask"))
     removed = whole.withColumn("mask", F.col("mask").cast("long")).unionByName(parts).groupBy("chunk").agg(F.collect_list(F.struct("anchor", "content", "mask")).alias("removed"))
+    removed = materialize(removed, "removed")
+    discard(blocks, groups, rows)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
@@ -247,13 +255,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
                 n_words = np.diff(b.begins)
                 gone = np.zeros(len(b.s) + 1, np.int64)
                 col = batch.column(2)
-                key = _key(_numbers(col, i, "anchor"), _numbers(col, i, "content"))
+                anchor, content = _numbers(col, i, "anchor"), _numbers(col, i, "content")
+                key = _key(anchor, content)
                 if len(key):
                     order = np.argsort(key)
                     key, mask = key[order], _numbers(col, i, "mask", np.int64)[order]
                     own = _key(b.anchor, b.content)
                     at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                    found = key[at] == own
+                    found = (anchor[order][at] == b.anchor) & (content[order][at] == b.content)
                     for full in (True, False):
                         hit = np.flatnonzero(found & ((mask[at] == -1) == full))
                         if full:
@@ -271,7 +280,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc
                 out = [docs_in.column(0), pa.array(n_words), pa.array(n_words - n_kept), pa.array([hashlib.sha256(x).hexdigest() for x in sent])]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(sent, pa.binary()).cast(pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
-    return chunks.select("chunk", "blob").join(removed, "chunk", "left").mapInArrow(cut, schema)
+    return chunks.select("chunk", "blob").join(removed.hint("shuffle_hash"), "chunk", "left").mapInArrow(cut, schema)
 
 
 def _join(data: np.ndarray, s: np.ndarray, e: np.ndarray, begins: np.ndarray, kept: np.ndarray) -> list[bytes]:
