@@ -4,17 +4,19 @@ A document's fingerprint is the bitwise majority of the XXH64 hashes of its
 3-word shingles. Fingerprints that differ in at most three bits are linked, and
 documents reachable over links form a group.
 
-The 64 bits are cut into five blocks; of two linked fingerprints at least two
-blocks agree, so each distinct fingerprint is dealt to the ten pairs of blocks.
-A bucket of more than ``most`` fingerprints is dealt again by its remaining bits
+The 64 bits are cut into one block more than the budget; two linked fingerprints
+agree in at least one block, so each distinct fingerprint is dealt to a task by
+each block. Fingerprints of one bucket form a binary trie (``trie.py``), which is
+joined with itself: pairs of nodes are traversed together, the bits in which
+their prefixes differ are accumulated, and a pair is dropped once they exceed the
+budget, or when both nodes already lie wholly in one component. Each trie yields
+at most one edge per fingerprint (to its component), never all pairs.
+
+A bucket of more than ``most`` fingerprints is dealt again: first by pairs of
+five blocks (of which one pair must agree in full), then by the remaining bits
 (cut into one part more than the budget, of which one must agree), until none is
 left. After four such rounds at most 14 bits are free, which have 16,384 values,
 so what a task holds is bounded by the bits, not by the data.
-Fingerprints that share a bucket form a binary trie over their sorted
-values. Pairs of nodes are traversed together: the bits their prefixes differ in
-are accumulated, a pair is dropped once they exceed the budget, or when both
-nodes already lie wholly in one component. Each trie yields at most one edge
-per fingerprint (to its component), never all pairs.
 
 Copies share a fingerprint and are collapsed before anything is dealt, so a
 group of copies is one row. Components of the edges are found by alternating
@@ -40,14 +42,20 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, materialize, pick, slices, words
 from .components import components
+from .trie import TrieJoin
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 _CUTS = (0, 13, 26, 39, 52, 64)
-_LEAF = 32
 #: Fingerprints that one task takes together; a bucket of more is dealt again.
 MOST = 1 << 17
 
 
+def _blocks(budget: int) -> list[int]:
+    """One block of bits more than the budget: two values within it agree in one."""
+    cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _masks(budget: int) -> list[int]:
     """Bits of each choice of blocks of which one must agree in full."""
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True)]
@@ -79,14 +87,26 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) ->
     a, b = (to - size)[start].tolist(), (to[last] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(flat[x:y], SEED) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
-    count = np.zeros((n_docs, 64), np.int64)
-    for lo in range(0, len(h), 1 << 15):
-        part, of = h[lo : lo + (1 << 15)], doc[lo : lo + (1 << 15)]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        count[of[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    over = 2 * count > n_sh[:, None]
-    return np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+    return majority(h, first)
+
+
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document (values ``first[i]`` to ``first[i + 1]`` of ``h``) the bits
+    set in over half of its values. Eight counters of a byte share a 64-bit word,
+    over at most 255 values at a time."""
+    n = np.diff(first)
+    out = np.zeros((len(n), 64), dtype=bool)
+    some = np.flatnonzero(n)
+    if len(some):
+        pieces = -(-n[some] // 255)
+        at = np.zeros(len(some) + 1, np.int64)
+        np.cumsum(pieces, out=at[1:])
+        starts = np.repeat(first[some], pieces) + 255 * (np.arange(at[-1]) - np.repeat(at[:-1], pieces))
+        for k in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+            count = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), at[:-1], axis=0)
+            out[some, k::8] = 2 * count > n[some, None]
+    return np.packbits(out, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
 def with_fingerprint(source: DataFrame, text: str = "text", shingle: int = SHINGLE, with_text: bool = False) -> DataFrame:
@@ -105,76 +125,8 @@ def with_fingerprint(source: DataFrame, text: str = "text", shingle: int = SHING
 # ------------------------------------------------------------------ trie join
 
 
-class _Trie:
-    """Self-join of a sorted array of distinct fingerprints, as a path-compressed
-    binary trie: a node is a range of the array."""
-
-    def __init__(self, values: np.ndarray, budget: int) -> None:
-        self.v, self.budget = values, budget
-        self.comp = np.arange(len(values))
-        self.members: dict[int, list[int]] = {}
-
-    def _bit(self, lo: int, hi: int) -> int:
-        """Bits below the node's common prefix."""
-        return int(self.v[lo] ^ self.v[hi - 1]).bit_length()
-
-    def _split(self, lo: int, hi: int, bit: int) -> int:
-        top = (int(self.v[lo]) >> bit << bit) | (1 << (bit - 1))
-        return lo + int(np.searchsorted(self.v[lo:hi], np.uint64(top)))
-
-    def _union(self, a: int, b: int) -> None:
-        ca, cb = int(self.comp[a]), int(self.comp[b])
-        if ca == cb:
-            return
-        ma, mb = self.members.pop(ca, [ca]), self.members.pop(cb, [cb])
-        if len(ma) < len(mb):
-            ca, cb, ma, mb = cb, ca, mb, ma
-        self.comp[mb] = ca
-        ma.extend(mb)
-        self.members[ca] = ma
-
-    def _leaves(self, a: tuple[int, int], b: tuple[int, int]) -> None:
-        x, y = self.v[a[0] : a[1]], self.v[b[0] : b[1]]
-        near = np.bitwise_count(x[:, None] ^ y[None, :]) <= self.budget
-        near &= self.comp[a[0] : a[1], None] != self.comp[None, b[0] : b[1]]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            self._union(a[0] + int(i), b[0] + int(j))
-
-    def join(self) -> np.ndarray:
-        """Component of each value, as the place of one of its members."""
-        todo = [((0, len(self.v)), (0, len(self.v)))]
-        while todo:
-            a, b = todo.pop()
-            (alo, ahi), (blo, bhi) = a, b
-            if a == b:
-                if ahi - alo <= _LEAF:
-                    self._leaves(a, a)
-                elif (self.comp[alo:ahi] != self.comp[alo]).any():
-                    m = self._split(alo, ahi, self._bit(alo, ahi))
-                    todo += [((alo, m), (m, ahi)), ((alo, m), (alo, m)), ((m, ahi), (m, ahi))]
-                continue
-            abit, bbit = self._bit(alo, ahi), self._bit(blo, bhi)
-            if (int(self.v[alo] ^ self.v[blo]) >> max(abit, bbit)).bit_count() > self.budget:
-                continue
-            if (ahi - alo) * (bhi - blo) <= _LEAF * _LEAF:
-                self._leaves(a, b)
-                continue
-            if self.comp[alo] == self.comp[blo] and (self.comp[alo:ahi] == self.comp[alo]).all() and (self.comp[blo:bhi] == self.comp[alo]).all():
-                continue
-            if abit >= bbit:
-                m = self._split(alo, ahi, abit)
-                todo += [((m, ahi), b), ((alo, m), b)]
-            else:
-                m = self._split(blo, bhi, bbit)
-                todo += [(a, (m, bhi)), (a, (blo, m))]
-        return self.comp
-
-
-def _edges_of(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    v = np.sort(fps)
-    comp = _Trie(v, budget).join()
-    at = np.flatnonzero(comp != np.arange(len(v)))
-    return v[at], v[comp[at]]
+class _Trie(TrieJoin):
+    """The join of one trie."""
 
 
 def _signed(mask: int) -> int:
@@ -192,7 +144,7 @@ def trie_edges(distinct: DataFrame, budget: int = BUDGET, most: int = MOST) -> D
     ``distinct``: fp, each value once, in a table that is cheap to read again."""
     if most < 1 << (budget + 1):
         raise ValueError("most must be at least 2 to the power of budget + 1")
-    masks = _masks(budget)
+    masks, level = _blocks(budget), 0
     dealt = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     dealt, edges = dealt.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))), None
     while True:
@@ -203,8 +155,9 @@ def trie_edges(distinct: DataFrame, budget: int = BUDGET, most: int = MOST) -> D
             return found if edges is None else edges.unionByName(found)
         found = materialize(_bucket_edges(dealt.join(crowded, ["mask", "k"], "left_anti"), budget), "edges")
         edges = found if edges is None else edges.unionByName(found)
-        # At most 10 * 4^4 masks for a budget of three: after four rounds no bucket can be crowded.
-        finer = {m: _parts(m, budget + 1) for m in masks}
+        # At most 10 * 4^4 masks for a budget of three: after four more rounds no bucket can be crowded.
+        finer = {m: _parts(m, budget + 1) if level else _masks(budget) for m in masks}
+        level += 1
         table = distinct.sparkSession.createDataFrame([(_signed(m), _signed(p)) for m, ps in finer.items() for p in ps], "mask long, part long")
         again = dealt.join(crowded, ["mask", "k"], "left_semi").join(F.broadcast(table), "mask").select("fp", F.col("part").alias("mask")).distinct()
         dealt = materialize(again.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))), "dealt")
@@ -223,14 +176,10 @@ def _bucket_edges(dealt: DataFrame, budget: int) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
             size = np.diff(np.r_[cut, len(t)])
             values = fp.view(np.uint64)
-            two = cut[size == 2]
-            near = two[np.bitwise_count(values[two] ^ values[two + 1]) <= budget]
-            a, b = [values[near]], [values[near + 1]]
-            for i, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                x, y = _edges_of(values[i : i + n], budget)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
+            values = values[np.lexsort((values, np.repeat(np.arange(len(cut)), size)))]
+            comp = TrieJoin(values, budget, cut, cut + size).join()
+            at = np.flatnonzero(comp != np.arange(len(comp)))
+            a, b = values[at], values[comp[at]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
