@@ -31,7 +31,8 @@ def bit_length(x: np.ndarray) -> np.ndarray:
 class TrieJoin:
     """Components of values within ``budget`` bits of each other.
 
-    ``values`` are sorted and distinct within each trie; ``starts`` and ``ends``
+    ``values`` are sorted within each trie (equal ones are leaves that part at
+    bit 0); ``starts`` and ``ends``
     are the tries' ranges (one trie of all values without them). ``accept(i, js)``
     decides which links of one value hold; all do without it. ``visited`` and
     ``pruned`` count node pairs."""
@@ -76,8 +77,10 @@ class TrieJoin:
         else:
             for least, most in ((-1, 6), (6, 12), (12, 64)):  # the nearest first: they spare the others
                 tier = np.flatnonzero((errors > least) & (errors <= most) & (self.comp[i] != self.comp[j]))
+                if not len(tier):
+                    continue
                 order = tier[np.argsort(i[tier], kind="stable")]
-                cut = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0]) if len(order) else order
+                cut = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0])
                 for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
                     a, js = int(i[order[x]]), j[order[x:y]]
                     js = js[self.comp[js] != self.comp[a]]
@@ -129,10 +132,10 @@ class TrieJoin:
         keep = errors <= self.budget
         keep &= ~((self.comp[alo] == self.comp[blo]) & self._whole(alo, ahi) & self._whole(blo, bhi))
         self.pruned += int((~keep).sum())
-        leaf = keep & (to == 0)
-        rest = keep & (to > 0)
-        a = rest & (abit >= bbit)
-        b = rest & (abit < bbit)
+        one = ahi - alo == 1
+        leaf = keep & one & (bhi - blo == 1)
+        a = keep & ~leaf & ((abit > bbit) | ((abit == bbit) & ~one))
+        b = keep & ~leaf & ~a
         ma, mb = self._split(alo[a], abit[a]), self._split(blo[b], bbit[b])
         stack.append((alo[a], ma, blo[a], bhi[a], to[a], errors[a]))
         stack.append((ma, ahi[a], blo[a], bhi[a], to[a], errors[a]))
