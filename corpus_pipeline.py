@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate as _decontaminate
-from paperloom.llm import minhash as _minhash
 from paperloom.llm import packing as _packing
 from paperloom.llm import quality_classifier as _quality
 from paperloom.llm import secrets as _secrets
+from paperloom.llm import similar as _similar
 from paperloom.llm.common import materialize
 
 
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _minhash.keep_one(docs)
+    return _similar.keep_dissimilar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
