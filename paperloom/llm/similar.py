@@ -48,14 +48,16 @@ from .trie import TrieJoin
 SHINGLE, SIMILARITY, KEYS, ROWS = 5, 0.8, 10, 3
 #: Standard deviations of the bits that differ which the budget allows for.
 SIGMAS = 4.5
+#: Further fingerprints that a task looks at before it compares two sets.
+WIDE = 3
 MOST, MOST_BYTES = 1 << 17, 8 << 20
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bit_budget(similarity: float) -> int:
+def bit_budget(similarity: float, bits: int = 64) -> int:
     """Bits in which fingerprints of that similarity differ, with a margin."""
     p = acos(2 * similarity / (1 + similarity)) / pi
-    return min(64, ceil(64 * p + SIGMAS * sqrt(64 * p * (1 - p))))
+    return min(bits, ceil(bits * p + SIGMAS * sqrt(bits * p * (1 - p))))
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -175,28 +177,33 @@ class _Sets:
         values, self.ids = np.unique(sets, return_inverse=True)
         self.begins, self.size, self.similarity = begins, np.diff(begins), similarity
         self.mark = np.zeros(len(values), dtype=bool)
+        self.wide = np.stack([majority(mix(sets ^ np.uint64(k)), begins) for k in range(1, WIDE + 1)])
+        self.wide_budget = bit_budget(similarity, 64 * WIDE)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """By size, and for sets that are not small by further fingerprints."""
+        n, m = self.size[i], self.size[j]
+        least = np.minimum(n, m)
+        out = least >= self.similarity * np.maximum(n, m)
+        errors = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in self.wide)
+        return out & ((least < 64) | (errors <= self.wide_budget))
 
     def accept(self, i: int, js: np.ndarray) -> np.ndarray:
-        n, m = self.size[i], self.size[js]
-        out = np.minimum(n, m) >= self.similarity * np.maximum(n, m)
-        near = np.flatnonzero(out & (m > 0))
-        if len(near):
-            own = self.ids[self.begins[i] : self.begins[i + 1]]
-            self.mark[own] = True
-            k = m[near]
-            ends = np.cumsum(k)
-            at = np.arange(ends[-1]) + np.repeat(self.begins[js[near]] - (ends - k), k)
-            both = np.add.reduceat(self.mark[self.ids[at]], ends - k, dtype=np.int64)
-            self.mark[own] = False
-            out[near] = both >= self.similarity * (n + k - both)
-        return out
+        n, k = self.size[i], self.size[js]  # no set is empty: such documents have no keys
+        own = self.ids[self.begins[i] : self.begins[i + 1]]
+        self.mark[own] = True
+        ends = k.cumsum()
+        at = np.arange(ends[-1]) + (self.begins[js] - (ends - k)).repeat(k)
+        both = np.add.reduceat(self.mark[self.ids[at]], ends - k, dtype=np.int64)
+        self.mark[own] = False
+        return both >= self.similarity * (n + k - both)
 
 
 def _decide(task: np.ndarray, fp: np.ndarray, node: np.ndarray, texts: pa.Array, budget: int, similarity: float, shingle: int) -> pa.RecordBatch:
     order = np.lexsort((node, fp, task))  # as in _edges, so that places there are places here
     task, fp, node = task[order], fp[order], node[order]
     sets = _Sets(*shingle_sets(*shingle_hashes(*text_bytes(texts.take(pa.array(order))), shingle)), similarity)
-    return _batch(*_edges(task, fp, node, budget, sets.accept))
+    return _batch(*_edges(task, fp, node, budget, sets))
 
 
 def similar_edges(members: DataFrame, similarity: float, budget: int, shingle: int, most_bytes: int) -> DataFrame:
@@ -238,7 +245,8 @@ def similar_edges(members: DataFrame, similarity: float, budget: int, shingle: i
             yield _decide(task[x:y], fp[x:y], node[x:y], texts.slice(x, y - x), budget, similarity, shingle)
             at = to
 
-    groups = members.select("root", "i", "j", "node", "fp", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not fewer: work per byte is uneven
+    groups = members.select("root", "i", "j", "node", "fp", "text").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return groups.mapInArrow(run, "a long, b long")
 
 

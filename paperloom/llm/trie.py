@@ -13,13 +13,20 @@ number of pairs, and early links spare later pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 
-CHUNK = 1 << 16
+CHUNK = 1 << 18
 _ONE = np.uint64(1)
-Accept = Callable[[int, np.ndarray], np.ndarray]
+
+
+class Accept(Protocol):
+    """Decides links. ``likely`` may let pass what ``accept`` rejects, never the reverse."""
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray: ...
+
+    def accept(self, i: int, js: np.ndarray) -> np.ndarray: ...
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -33,9 +40,9 @@ class TrieJoin:
 
     ``values`` are sorted within each trie (equal ones are leaves that part at
     bit 0); ``starts`` and ``ends``
-    are the tries' ranges (one trie of all values without them). ``accept(i, js)``
-    decides which links of one value hold; all do without it. ``visited`` and
-    ``pruned`` count node pairs."""
+    are the tries' ranges (one trie of all values without them). ``accept``
+    decides which links hold; all do without it. ``visited`` and ``pruned`` count
+    node pairs."""
 
     def __init__(self, values: np.ndarray, budget: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None, accept: Accept | None = None) -> None:
         self.v, self.budget, self.accept = values, budget, accept
@@ -75,7 +82,9 @@ class TrieJoin:
             for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True):
                 self._union(a, b)
         else:
-            for least, most in ((-1, 6), (6, 12), (12, 64)):  # the nearest first: they spare the others
+            likely = self.accept.likely(i, j)
+            i, j, errors = i[likely], j[likely], errors[likely]
+            for least, most in ((-1, 8), (8, 64)):  # the nearest first: they spare the others
                 tier = np.flatnonzero((errors > least) & (errors <= most) & (self.comp[i] != self.comp[j]))
                 if not len(tier):
                     continue
@@ -85,7 +94,7 @@ class TrieJoin:
                     a, js = int(i[order[x]]), j[order[x:y]]
                     js = js[self.comp[js] != self.comp[a]]
                     if len(js):
-                        for b in js[self.accept(a, js)].tolist():
+                        for b in js[self.accept.accept(a, js)].tolist():
                             self._union(a, b)
         self._changes = np.zeros(len(self.v), np.int64)
         np.cumsum(self.comp[1:] != self.comp[:-1], out=self._changes[1:])
@@ -102,7 +111,7 @@ class TrieJoin:
                 stack.append(tuple(x[CHUNK:] for x in pairs))
                 pairs = tuple(x[:CHUNK] for x in pairs)
             self.visited += len(pairs[0])
-            own = pairs[0] == pairs[2]
+            own, next_ = pairs[0] == pairs[2], []
             if own.any():
                 lo, hi = pairs[0][own], pairs[1][own]
                 open_ = ~self._whole(lo, hi)
@@ -111,16 +120,18 @@ class TrieJoin:
                 bit = bit_length(self.v[lo] ^ self.v[hi - 1])
                 mid = self._split(lo, bit)
                 zero = np.zeros(len(lo), np.int64)
-                stack.append((lo, mid, mid, hi, bit, zero))
+                next_.append((lo, mid, mid, hi, bit, zero))
                 for a, b in ((lo, mid), (mid, hi)):
                     more = b - a > 1
-                    stack.append((a[more], b[more], a[more], b[more], zero[more], zero[more]))
+                    next_.append((a[more], b[more], a[more], b[more], zero[more], zero[more]))
             if not own.all():
-                self._cross(tuple(x[~own] for x in pairs), stack)
-            stack = [p for p in stack if len(p[0])]
+                next_ += self._cross(tuple(x[~own] for x in pairs))
+            if any(len(x[0]) for x in next_):  # all of a step in one array, lest arrays become many and small
+                stack.append(tuple(np.concatenate(x) for x in zip(*next_, strict=True)))
         return self.comp
 
-    def _cross(self, pairs: tuple[np.ndarray, ...], stack: list) -> None:
+    def _cross(self, pairs: tuple[np.ndarray, ...]) -> list[tuple[np.ndarray, ...]]:
+        """Links the pairs of single values within the budget; the pairs below the others."""
         alo, ahi, blo, bhi, at, errors = pairs
         v = self.v
         abit, bbit = bit_length(v[alo] ^ v[ahi - 1]), bit_length(v[blo] ^ v[bhi - 1])
@@ -137,9 +148,11 @@ class TrieJoin:
         a = keep & ~leaf & ((abit > bbit) | ((abit == bbit) & ~one))
         b = keep & ~leaf & ~a
         ma, mb = self._split(alo[a], abit[a]), self._split(blo[b], bbit[b])
-        stack.append((alo[a], ma, blo[a], bhi[a], to[a], errors[a]))
-        stack.append((ma, ahi[a], blo[a], bhi[a], to[a], errors[a]))
-        stack.append((alo[b], ahi[b], blo[b], mb, to[b], errors[b]))
-        stack.append((alo[b], ahi[b], mb, bhi[b], to[b], errors[b]))
         if leaf.any():
             self._link(alo[leaf], blo[leaf], errors[leaf])
+        return [
+            (alo[a], ma, blo[a], bhi[a], to[a], errors[a]),
+            (ma, ahi[a], blo[a], bhi[a], to[a], errors[a]),
+            (alo[b], ahi[b], blo[b], mb, to[b], errors[b]),
+            (alo[b], ahi[b], mb, bhi[b], to[b], errors[b]),
+        ]
