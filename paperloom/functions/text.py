@@ -45,6 +45,12 @@ def like(text: Column, pattern: str, flags: str = "") -> Column:
     return text.rlike(rx(pattern, flags))
 
 
+def once(column: Column) -> Column:
+    """The same value, which the optimiser keeps as one column: it would copy a
+    deterministic one into every place that looks at it."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 # ------------------------------------------------------- structure (T1 to T6)
 
 

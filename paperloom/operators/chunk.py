@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from paperloom.config import ChunkConfig
 from paperloom.functions import patterns as P
 from paperloom.functions.extract import urls_in_order
-from paperloom.functions.text import compiled, like, rx, strip, word_count
+from paperloom.functions.text import compiled, like, once, rx, strip, word_count
 
 PIECES = "array<struct<text:string,section_title:string,heading_path:array<string>,boundary_type:string>>"
 _SECTIONS = list(compiled(P.SECTIONS))
@@ -104,7 +104,7 @@ def _plain(t: Column, config: ChunkConfig) -> Column:
     size = config.target_chunk_size
     none = F.array().cast("array<string>")
     piece = lambda text, kind: F.struct(text.alias("text"), F.lit(None).cast("string").alias("section_title"), none.alias("heading_path"), F.lit(kind).alias("boundary_type"))
-    cuts = F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(size)), lambda i: piece(strip(F.substring(t, i + 1, F.lit(size))), "paragraph"))
+    cuts = F.transform(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda x: piece(strip(x), "paragraph"))
     return F.when(F.length(t) <= config.max_chunk_size, F.array(piece(t, "page"))).otherwise(F.filter(cuts, lambda p: p["text"] != ""))
 
 
@@ -124,11 +124,13 @@ def split(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
         keys = ("text", "section_title", "heading_path", "boundary_type")
         return texts.map(lambda t: [] if t is None else [dict(zip(keys, x, strict=True)) for x in split_page(t, config)])
 
-    rows = pages.select("doc_id", "file_name", "page_number", strip(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
-    rows = rows.withColumn("odd", _structured(F.col("text")))
+    # The optimiser copies a deterministic value into every place that looks at it, and infers
+    # a filter on an exploded array below it: once() and the outer explode keep work single.
+    rows = pages.select("doc_id", "file_name", "page_number", once(strip(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = rows.withColumn("odd", once(_structured(F.col("text"))))
     # Only the text of structured pages reaches Python; others send a null.
     ready = rows.withColumn("cut", cut(F.when(F.col("odd"), F.col("text")))).withColumn("pieces", F.when(F.col("odd"), F.col("cut")).otherwise(_plain(F.col("text"), config)))
-    parts = ready.select("doc_id", "file_name", "page_number", F.posexplode("pieces").alias("place", "p"))
+    parts = ready.select("doc_id", "file_name", "page_number", F.posexplode_outer("pieces").alias("place", "p")).where("p.text != ''")
     order = Window.partitionBy("doc_id").orderBy("page_number", "place")
     return parts.select("doc_id", "file_name", "page_number", (F.row_number().over(order) - 1).alias("chunk_index"), F.col("p.text").alias("base_text"), "p.section_title", "p.heading_path", "p.boundary_type")
 

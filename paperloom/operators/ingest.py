@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.config import ServiceConfig
@@ -18,13 +18,15 @@ from .store import Collections
 def normalized_or_raw(pages: DataFrame, config: ServiceConfig) -> DataFrame:
     """Pages to chunk: the normalised ones, or a document's raw text as page 1
     where normalising left nothing of it."""
-    meta = page_metadata(pages)
-    done = N.normalize_pages(meta, config.normalize).select("doc_id", "file_name", "page_number", F.col("normalized_text").alias("text"))
-    left = done.groupBy("doc_id").agg(F.max(F.length("text") > 0).alias("some")).where("some").select("doc_id")
-    raw = pages.join(left, "doc_id", "left_anti")
-    raw = raw.groupBy("doc_id", "file_name").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
-    raw = raw.select("doc_id", "file_name", F.lit(1).alias("page_number"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
-    return done.unionByName(raw)
+    done = N.normalize_pages(page_metadata(pages), config.normalize, dropped=True)
+    document = Window.partitionBy("doc_id")
+    some = F.max(F.length("normalized_text") > 0).over(document)
+    rows = done.select("doc_id", "file_name", "page_number", "text", "normalized_text", F.coalesce(some, F.lit(False)).alias("some"))
+    page = F.when(~F.col("some"), F.struct("page_number", "text"))  # nothing is gathered of other documents
+    rows = rows.withColumns({"at": F.row_number().over(document.orderBy("page_number")), "raw": F.collect_list(page).over(document)})
+    raw = F.array_join(F.transform(F.array_sort("raw"), lambda x: x["text"]), "\n\n")
+    kept = rows.where(F.when(F.col("some"), F.col("normalized_text").isNotNull()).otherwise(F.col("at") == 1))
+    return kept.select("doc_id", "file_name", F.when(F.col("some"), F.col("page_number")).otherwise(1).alias("page_number"), F.when(F.col("some"), F.col("normalized_text")).otherwise(raw).alias("text"))
 
 
 def ingest(pages: DataFrame, config: ServiceConfig = ServiceConfig(), custom: dict[str, str] | None = None) -> DataFrame:

@@ -25,13 +25,17 @@ RESULT = (
 )
 
 
-def filter_pages(pages: DataFrame, config: NormalizeConfig) -> DataFrame:
+def stays(config: NormalizeConfig) -> Column:
     """Skipped pages go; forced pages stay; then pages of a contents list go."""
     n = F.col("page_number")
     skip = n.isin(*config.skip_pages) if config.skip_pages else F.lit(False)
     force = n.isin(*config.force_process_pages) if config.force_process_pages else F.lit(False)
     contents = F.col("has_toc") if config.remove_toc_pages else F.lit(False)
-    return pages.where(~skip & (force | ~contents))
+    return ~skip & (force | ~contents)
+
+
+def filter_pages(pages: DataFrame, config: NormalizeConfig) -> DataFrame:
+    return pages.where(stays(config))
 
 
 # ------------------------------------------------------------- native columns
@@ -238,9 +242,11 @@ def crosscheck(original: str, text: str, urls: list[str], headings: list[str]) -
     return out
 
 
-def normalize_pages(pages: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> DataFrame:
+def normalize_pages(pages: DataFrame, config: NormalizeConfig = NormalizeConfig(), dropped: bool = False) -> DataFrame:
     """One row per page that the page filter leaves: doc_id, file_name,
-    page_number and the result's fields. ``pages``: rows of ``page_metadata``."""
+    page_number and the result's fields. ``pages``: rows of ``page_metadata``.
+    With ``dropped`` every page is a row, with its text; the normalised text of
+    those the filter drops is null."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -248,6 +254,10 @@ def normalize_pages(pages: DataFrame, config: NormalizeConfig = NormalizeConfig(
         for text, number, urls, headings in batches:
             yield pd.DataFrame([one(t or "", int(n), list(u), list(h)) for t, n, u, h in zip(text, number, urls, headings, strict=True)], columns=_FIELDS)
 
+    if dropped:
+        rows = pages.withColumn("stays", F.coalesce(stays(config), F.lit(True)))
+        rows = rows.withColumn("r", run(F.when(F.col("stays"), F.col("text")), "page_number", "urls", "headings"))
+        return rows.select("doc_id", "file_name", "page_number", "text", F.when(F.col("stays"), F.col("r.normalized_text")).alias("normalized_text"))
     kept = filter_pages(pages, config)
     return kept.withColumn("r", run("text", "page_number", "urls", "headings")).select("doc_id", "file_name", "page_number", "r.*")
 

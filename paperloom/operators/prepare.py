@@ -27,8 +27,9 @@ def content_hash(t: Column, algorithm: str = "sha256") -> Column:
 def ngram_hash(t: Column, n: int = 3) -> Column:
     """Hash of the sorted hashes of the word n-grams; of nothing for fewer words."""
     words = F.regexp_extract_all(F.lower(t), F.lit(rx(r"\S+")), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(n)), " ")), 1, 8))
-    return F.sha2(F.when(F.size(words) >= n, F.array_join(F.array_sort(grams), "")).otherwise(""), 256)
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, F.lit(n)), " ")), 1, 8))
+    # bound to a lambda's variable, the words are found once and not once for each n-gram
+    return F.transform(F.array(words), lambda w: F.sha2(F.when(F.size(w) >= n, F.array_join(F.array_sort(grams(w)), "")).otherwise(""), 256))[0]
 
 
 def with_hash(chunks: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
@@ -40,15 +41,13 @@ def with_hash(chunks: DataFrame, config: PrepareConfig = PrepareConfig()) -> Dat
 def first_wins(rows: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """The first chunk of each hash, within its document or the corpus.
 
-    Over the corpus a hash may be very frequent, so the first place is found by
-    an aggregate, which combines before the shuffle, and kept by a semi-join."""
+    A hash may be very frequent: of each the first row is kept within every
+    partition before rows are shuffled (a group limit of the window)."""
     if not config.deduplicate:
         return rows
-    if config.dedup_scope == "document":
-        order = Window.partitionBy("doc_id", "embedding_hash").orderBy("chunk_index")
-        return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    first = rows.groupBy("embedding_hash").agg(F.min(F.struct("doc_id", "chunk_index")).alias("f")).select("embedding_hash", "f.doc_id", "f.chunk_index")
-    return rows.join(first, ["embedding_hash", "doc_id", "chunk_index"], "left_semi")
+    within = ("doc_id", "embedding_hash") if config.dedup_scope == "document" else ("embedding_hash",)
+    order = Window.partitionBy(*within).orderBy("doc_id", "chunk_index")
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def dedup_stats(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
 """Registered queries and the SQL each of them is held against.
 
 Most queries run on *decorated* pages: two pages per document, with headings,
-lists, tables, code, links and line-end variants built from the document by one
-SQL text that both engines understand. They hold the whole text of every document
-(a null one is empty). Where a query's SQL was fixed on pages that hold the first
-700 and 900 characters only, the query of that name goes with its SQL, and
-``whole_`` and the name is the same query over the whole pages.
+lists, tables, code, links and line-end variants built around the document's text
+by one SQL text that both engines understand. The first page holds the first half
+of the text, the second page the rest (a null text is empty); every seventh
+document has a third page, which repeats the whole text of the document before it.
 """
 
 from __future__ import annotations
@@ -27,20 +26,20 @@ from paperloom.operators import search as V
 FLAGSHIP = "flagship_chunks"
 
 DECORATED = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text FROM {documents})
 SELECT doc_id, page_number, file_name, CASE WHEN doc_id % 5 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS text FROM (
 SELECT doc_id, 1 AS page_number, 'doc' || CAST(doc_id AS STRING) || '.txt' AS file_name,
-  'OVERVIEW OF RESULTS' || chr(10) || chr(10) || chr(10) || chr(10) || substr(text, 1, 700) || chr(10) || chr(10) || 'See https://example.com/d/' || CAST(doc_id AS STRING) || ' and write to user' || CAST(doc_id AS STRING)
-  || '@example.org today.' || chr(10) || 'Page 1' || chr(10) || 'confidential' || chr(10) || 'On March  5 2024 or 12-31-2023 the 5th 0CR l1ne ended.' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Contents of it ........ 12' ELSE '' END AS text FROM {documents} WHERE text IS NOT NULL
+  'OVERVIEW OF RESULTS' || chr(10) || chr(10) || chr(10) || chr(10) || left(text, CAST(floor(length(text) / 2) AS INT)) || chr(10) || chr(10) || 'See https://example.com/d/' || CAST(doc_id AS STRING) || ' and write to user' || CAST(doc_id AS STRING)
+  || '@example.org today.' || chr(10) || 'Page 1' || chr(10) || 'confidential' || chr(10) || 'On March  5 2024 or 12-31-2023 the 5th 0CR l1ne ended.' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Contents of it ........ 12' ELSE '' END AS text FROM w
 UNION ALL
 SELECT doc_id, 2 AS page_number, 'doc' || CAST(doc_id AS STRING) || '.txt' AS file_name,
   '1. Title of ' || CAST(doc_id AS STRING) || chr(10) || '- first  item' || chr(10) || '* second item' || chr(10) || '3) third item' || chr(10) || '| a | b |' || chr(10) || '```' || chr(10) || 'def f(): pass' || chr(10) || '```' || chr(10)
-  || 'an exam-' || chr(10) || '  ple of ﬁne æther' || chr(10) || '© 2024 Some House' || chr(10) || 'left part      right part' || chr(10) || '2' || chr(10) || chr(10) || 'DISCLAIMER: none of it counts.' || chr(10) || chr(10) || substr(text, 1, 900) AS text FROM {documents} WHERE text IS NOT NULL
+  || 'an exam-' || chr(10) || '  ple of ﬁne æther' || chr(10) || '© 2024 Some House' || chr(10) || 'left part      right part' || chr(10) || '2' || chr(10) || chr(10) || 'DISCLAIMER: none of it counts.' || chr(10) || chr(10) || substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS text FROM w
+UNION ALL
+SELECT doc_id + 1 AS doc_id, 3 AS page_number, 'doc' || CAST(doc_id + 1 AS STRING) || '.txt' AS file_name, text FROM w WHERE (doc_id + 1) % 7 = 0
 ) d
 """
-WHOLE = DECORATED.replace(" WHERE text IS NOT NULL", "").replace("substr(text, 1, 700)", "coalesce(text, '')").replace("substr(text, 1, 900)", "coalesce(text, '')")
-_SQL_PAGES, _SQL_WHOLE = DECORATED.format(documents="documents"), WHOLE.format(documents="documents")
-#: Their SQL takes time that grows with the square of a text's words.
-_NO_WHOLE_SQL = {"ngram_hash"}
+_SQL_PAGES = DECORATED.format(documents="documents")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +50,12 @@ def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DECORATED, documents=_docs(spark, sf_dir))
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(WHOLE, documents=_docs(spark, sf_dir))
-
-
 def _text_query(f: Callable[[Column], Column]):
     return lambda pages: pages.select("doc_id", "page_number", f(F.col("text")).alias("out"))
 
 
 def _text_sql(expression: str) -> str:
-    return f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number, {expression} AS out FROM p"
+    return f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number, {expression} AS out FROM (SELECT *, regexp_extract_all(lower(text), '\\S+') AS words FROM p)"
 
 
 def _chain(*steps: tuple[str, str]) -> str:
@@ -133,7 +128,7 @@ TEXT: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "content_hash": (E.content_hash, rf"sha256(regexp_replace({_STRIP('lower(text)')}, '{_S}+', ' ', 'g'))"),
     "content_hash_md5": (lambda t: E.content_hash(t, "md5"), rf"md5(regexp_replace({_STRIP('lower(text)')}, '{_S}+', ' ', 'g'))"),
     "content_hash_sha1": (lambda t: E.content_hash(t, "sha1"), rf"sha1(regexp_replace({_STRIP('lower(text)')}, '{_S}+', ' ', 'g'))"),
-    "ngram_hash": (E.ngram_hash, r"sha256(array_to_string(list_sort(list_transform(range(1, len(regexp_extract_all(lower(text), '\S+')) - 1), lambda i: left(md5(array_to_string(regexp_extract_all(lower(text), '\S+')[i : i + 2], ' ')), 8))), ''))"),
+    "ngram_hash": (E.ngram_hash, r"sha256(array_to_string(list_sort(list_transform(range(1, len(words) - 1), lambda i: left(md5(array_to_string(words[i : i + 2], ' ')), 8))), ''))"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,13 +149,7 @@ def page_query(name: str, sql: str | None = None):
     """Registers a function of decorated pages."""
 
     def register(f: Callable[[DataFrame], DataFrame]):
-        if sql is None:
-            QUERIES[name] = lambda spark, sf_dir: f(whole(spark, sf_dir))
-            return f
-        QUERIES[name], ORACLES[name] = lambda spark, sf_dir: f(decorated(spark, sf_dir)), sql
-        QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(whole(spark, sf_dir))
-        if name not in _NO_WHOLE_SQL:
-            ORACLES[f"whole_{name}"] = sql.replace(_SQL_PAGES, _SQL_WHOLE)
+        query(name, sql)(lambda spark, sf_dir: f(decorated(spark, sf_dir)))
         return f
 
     return register
@@ -184,7 +173,7 @@ def document_rollup(pages):
 
 @page_query("page_range", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM p GROUP BY doc_id")
 def page_range(pages):
-    return X.page_range(pages, 1, 2)
+    return X.page_range(pages, 1, 3)
 
 
 @page_query("page_filter", f"WITH p AS ({_SQL_PAGES}) SELECT doc_id, page_number FROM p WHERE NOT ({_TOC})")
