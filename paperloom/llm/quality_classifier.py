@@ -92,15 +92,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **training) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+    """The rows of ``docs``, all columns, that score at least ``threshold``; of
+    several columns of one name the first counts."""
+    names = docs.columns
+    flat, column = docs.toDF(*[f"_{i}" for i in range(len(names))]), f"_{names.index('text')}"
     model = train_quality(pick(docs, doc_id="doc_id", text="text"), pick(labels, doc_id="doc_id", quality="quality"), **training)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offs in slices(batch):
+            for rows, data, offs in slices(batch, column):
                 yield rows.filter(pa.array(model.score(data, offs) >= threshold))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return flat.mapInArrow(judge, flat.schema).toDF(*names)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -225,14 +225,16 @@ def find_secrets(docs: DataFrame, rate: float = 0.1, doc_id: str = "doc_id", tex
 
 def redact(docs: DataFrame, rate: float = 0.1, mark: str = "[SECRET]", text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` and, where there is such a
-    column, the length in code points set anew for the texts that changed."""
+    column, the length in code points set anew for the texts that changed. Of
+    several columns of one name the first counts."""
     limits = learn_thresholds(pick(docs, text=text), rate)
     names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offs in slices(batch, text):
-                at = rows.schema.get_field_index(text)
+            for rows, data, offs in slices(batch, f"_{at}"):
                 new, size = rows.column(at).to_pylist(), None
                 if length in names:
                     size = rows.column(names.index(length)).to_pylist()
@@ -253,7 +255,7 @@ def redact(docs: DataFrame, rate: float = 0.1, mark: str = "[SECRET]", text: str
                     cols[names.index(length)] = pa.array(size, rows.column(names.index(length)).type)
                 yield pa.RecordBatch.from_arrays(cols, schema=rows.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
