@@ -11,7 +11,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .search import where_metadata
@@ -68,21 +68,27 @@ class Collections:
         d = self.describe(name)
         return self.spark.read.parquet(f"{self.base}/{name}/{d.snapshot}") if d.snapshot else None
 
-    def _replace(self, name: str, df: DataFrame, mode: str = "new") -> None:
+    def _replace(self, name: str, df: DataFrame) -> None:
         d = self.describe(name)
-        snapshot = d.snapshot if mode == "append" and d.snapshot else f"snapshot-{uuid.uuid4().hex}"
-        df.write.mode("append").parquet(f"{self.base}/{name}/{snapshot}")
+        snapshot = f"snapshot-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.base}/{name}/{snapshot}")
         self._point(Descriptor(d.name, d.size, d.distance, snapshot))
 
     def upsert(self, name: str, points: DataFrame, vector: str = "embedding", deterministic_ids: bool = True) -> dict[str, int]:
-        """Append points; vectors of another length than the collection's are not
-        stored but counted as failed. Ids follow from the embedding id, or are
-        random ones that make a repeated load add points again."""
+        """Add points, or put them in the place of stored ones of the same id; of
+        several given points of one id any one is stored. Vectors of another length
+        than the collection's are not stored but counted as failed. Ids follow from
+        the embedding id, or are random ones that make a repeated load add points
+        again."""
         d = self.describe(name)
         ids = F.sha2(F.col("embedding_id"), 256) if deterministic_ids else F.expr("uuid()")
         rows = points if "point_id" in points.columns else points.withColumn("point_id", ids)
         total, good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.size(vector) == d.size).cast("int")), F.lit(0))).first()
-        self._replace(name, rows.where(F.size(vector) == d.size), "append")
+        new = rows.where(F.size(vector) == d.size).dropDuplicates(["point_id"])
+        old = self.points(name)
+        if old is not None:
+            new = old.join(new.select("point_id"), "point_id", "left_anti").unionByName(new, allowMissingColumns=True)
+        self._replace(name, new)
         return {"uploaded": int(good), "failed": int(total - good), "total": int(total)}
 
     def get(self, name: str, point_id: str) -> DataFrame:
@@ -121,8 +127,12 @@ def export_json(recs: DataFrame, path: str, with_text: bool = True) -> None:
 def export_points_json(payloads: DataFrame, path: str) -> None:
     """{id, payload} a line; ids count from 0 within the order of embedding ids."""
     ordered = payloads.orderBy("embedding_id")
-    ids = F.monotonically_increasing_id()
-    ordered.select(ids.alias("id"), F.struct(*payloads.columns).alias("payload")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    # a row's number is the number of rows in the partitions before it, and its place in its own
+    at = F.monotonically_increasing_id()
+    placed = ordered.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
+    numbered = placed.join(F.broadcast(sizes.select("_part", "_before")), "_part")  # a row for each partition
+    numbered.select((F.col("_before") + F.col("_at")).alias("id"), F.struct(*payloads.columns).alias("payload")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
