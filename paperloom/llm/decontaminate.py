@@ -1,18 +1,23 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 Native DataFrame operations only. Benchmark texts are cut into windows of
-``window`` words (an item of fewer words is one window). While the windows are
-few enough (``max_keys``, checked before the run), their hashes are a constant
-hash set inside the scan: each text is split once, a position is looked up by
-the hash of the words it starts with, and the whole window of a hit is verified
-by a 128-bit digest, also in the set. Positions that pass are few and leave the
-scan as an array on the document's row. Beyond that bound the positions of all
-documents are joined with the windows instead, in a shuffle join on the same
-hashes; the rows are the same.
+``window`` words (an item of fewer words is one window). A position of a document
+is looked up in a hash set by the hash of the words it starts with, and the whole
+window of a hit is verified by a 128-bit digest. Windows are counted before the
+run, which says where the set is; the rows are the same:
+
+* up to ``max_keys`` windows it is a constant inside the scan: each text is split
+  once, and positions that pass leave the scan as an array on the document's row;
+* up to ``MAX_BROADCAST`` it is broadcast as a table, of 8-byte hashes first, so
+  that a position of a document is never shuffled unless its first words are those
+  of a window; texts stay in the buckets they were written to;
+* beyond, the same joins go by shuffle, with salt, so that words which very many
+  documents share are not one task's.
 
 Edge cases: a null text has no words, is not hit and hits nothing; an empty
-benchmark hits nothing; repeated items of one id count once; a null item id is
-not listed; repeated documents are judged alike; other columns are ignored.
+benchmark hits nothing; an empty table of documents gives an empty result;
+repeated items of one id count once; a null item id is not listed; repeated
+documents are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pick
+from .common import materialize, materialize_bucketed, pick
 
 WINDOW, LEAD, MAX_KEYS = 10, 3, 20_000
+#: Windows whose hashes are broadcast as a table (under 100 MB); rows per key beyond.
+MAX_BROADCAST, SALTS = 1_000_000, 16
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,7 +99,7 @@ def _bounded_keys(windows: DataFrame, max_keys: int) -> list | None:
     return rows if len(rows) <= max_keys else None
 
 
-def decontamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS, max_broadcast: int = MAX_BROADCAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated and spans (0-based word ranges, end exclusive)."""
     windows = materialize(benchmark_windows(bench, window), "windows")
@@ -102,10 +109,10 @@ def decontamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max
     if keys is not None:
         base = split.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), _hits_in_row(F.col("w"), keys).alias("hits"))
     else:
-        base = _hits_by_join(materialize(split, "words"), windows)
+        base = _hits_by_join(materialize_bucketed(split, "words", "row"), windows, max_broadcast)
     base = materialize(base, "hits")
     each = base.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.digest").distinct()
-    items = each.join(windows.select("digest", "item_id"), "digest").groupBy("row").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    items = _joined(each, windows.select("digest", "item_id"), "digest", "inner", windows.count() <= max_broadcast).groupBy("row").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     none = F.array().cast("array<string>")
     listed = F.coalesce("items", none)
     spans = F.array_distinct(F.transform(F.array_sort("hits"), lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["n"]).alias("end"))))
@@ -115,31 +122,44 @@ def decontamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max
     )
 
 
-def _placed(split: DataFrame, n: int) -> DataFrame:
-    """Every n-word window of the documents, by place and hashes."""
-    words = F.col("w")
-    windows = F.transform(_places(words, n), lambda at: F.struct(at.alias("at"), _lead(words, at, n).alias("lead"), _digest(words, at, n).alias("digest")))
-    return split.select("row", F.lit(n).alias("n"), F.explode(windows).alias("p"))
+def _leads(words: Column, n: int) -> Column:
+    return F.transform(_places(words, n), lambda at: _lead(words, at, n))
+
 
+def _joined(rows: DataFrame, keys: DataFrame, key: str, how: str, few: bool) -> DataFrame:
+    """``rows`` (with a column row) and ``keys`` joined, those broadcast if few."""
+    if few:
+        return rows.join(F.broadcast(keys), key, how)
+    salted = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).hint("merge").join(salted, [key, "salt"], how).drop("salt")
 
-def _hits_by_join(split: DataFrame, windows: DataFrame) -> DataFrame:
-    """``row, doc_id, n_words, hits`` by a join on the leading words' hash."""
+
+def _found_by_join(split: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
+    """``row, found`` of the rows in which a window occurs. ``split``: row, w, in
+    buckets by row."""
     lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most as many as a window has words
-    keys = windows.select("n", "lead", "digest").distinct()
+    few = windows.count() <= max_broadcast
+    words = F.col("w")
+    placed = split.select("row", F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("lead")).limit(0)
+    for n in lengths:
+        placed = placed.unionByName(split.select("row", F.lit(n).alias("n"), F.posexplode(_leads(words, n)).alias("at", "lead")))
+    likely = _joined(placed, windows.select("lead").distinct(), "lead", "left_semi", few)
+    likely = likely.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    whole = F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.md5(F.array_join(F.slice(words, x["at"] + 1, x["n"]), " ")).alias("digest")))
+    full = split.select("row", "w").join(likely.hint("shuffle_hash"), "row").select("row", F.explode(whole).alias("p")).select("row", "p.*")
+    full = _joined(full, windows.select("digest").distinct(), "digest", "left_semi", few)
+    return full.groupBy("row").agg(F.collect_list(F.struct("at", "n", "digest")).alias("found"))
+
+
+def _hits_by_join(split: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
+    """``row, doc_id, n_words, hits`` of all rows."""
     none = F.array().cast("array<struct<at:int,n:int,digest:string>>")
-    parts = [_placed(split, n) for n in lengths]
     base = split.select("row", "doc_id", F.size("w").cast("long").alias("n_words"))
-    if not parts:
-        return base.withColumn("hits", none)
-    placed = parts[0]
-    for p in parts[1:]:
-        placed = placed.unionByName(p)
-    placed = placed.select("row", "n", "p.at", "p.lead", "p.digest").join(keys, ["n", "lead", "digest"], "left_semi")
-    found = placed.groupBy("row").agg(F.collect_list(F.struct("at", "n", "digest")).alias("found"))
-    return base.join(found, "row", "left").select("row", "doc_id", "n_words", F.coalesce("found", none).alias("hits"))
+    found = _found_by_join(split, windows, max_broadcast)
+    return base.join(found.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "n_words", F.coalesce("found", none).alias("hits"))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs. Beyond
     ``max_keys`` windows the rows are written once with a number each: numbers
     given anew at each read would change with the executors there are."""
@@ -151,14 +171,13 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, m
     if keys is not None:
         clean = flat.withColumn("_w", _once(normal_words(text))).withColumn("_clean", _once(F.size(_hits_in_row(F.col("_w"), keys)) == 0)).where("_clean").drop("_w", "_clean")
     else:
-        flat = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        split = flat.select(F.col("_row").alias("row"), F.col("_row").alias("doc_id"), normal_words(text).alias("w"))
-        bad = materialize(_hits_by_join(split, windows).where(F.size("hits") > 0).select(F.col("row").alias("_row")), "contaminated")
-        clean = flat.join(bad, "_row", "left_anti").drop("_row")
+        flat = materialize_bucketed(flat.withColumn("row", F.monotonically_increasing_id()), "numbered", "row")
+        bad = materialize(_found_by_join(flat.select("row", normal_words(text).alias("w")), windows, max_broadcast).select("row"), "contaminated")
+        clean = flat.join(bad.hint("shuffle_hash"), "row", "left_anti").drop("row")
     return clean.toDF(*names)
 
 
-def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_keys: int = MAX_KEYS, max_broadcast: int = MAX_BROADCAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and text without the words of benchmark windows: the remaining
     normalised words joined by one space. Texts without a hit stay as they are."""
     windows = materialize(benchmark_windows(bench, window), "windows")
@@ -167,8 +186,8 @@ def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_ke
     if keys is not None:
         rows = rows.withColumn("hits", _hits_in_row(F.col("w"), keys))
     else:
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "words")
-        rows = rows.join(_hits_by_join(rows, windows).select("row", "hits"), "row")
+        rows = materialize_bucketed(rows.withColumn("row", F.monotonically_increasing_id()), "words", "row")
+        rows = rows.join(_hits_by_join(rows, windows, max_broadcast).select("row", "hits").hint("shuffle_hash"), "row")
     inside = lambda i: F.exists("hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"]))
     kept = F.array_join(F.filter("w", lambda _, i: ~inside(i)), " ")
     return rows.select("doc_id", F.when(F.size("hits") > 0, kept).otherwise(F.col("text")).alias("text"))

@@ -163,8 +163,8 @@ def test_keep_one_keeps_each_group_once(docs, rows):
     assert got == sorted({r["component_id"] for r in simhash.simhash_groups(docs).collect()}, key=repr)
 
 
-@pytest.mark.parametrize("max_keys", [20_000, 0])
-def test_decontamination(spark, docs, rows, max_keys):
+@pytest.mark.parametrize(("max_keys", "max_broadcast"), [(20_000, 1_000_000), (0, 1_000_000), (0, 0)])
+def test_decontamination(spark, docs, rows, max_keys, max_broadcast):
     w = words_of(rows[32][1])
     items = [(1, " ".join(w[5:30]).upper()), (2, "tail"), (3, None), (4, ""), (5, "not in any document at all"), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -185,11 +185,11 @@ def test_decontamination(spark, docs, rows, max_keys):
                     found |= windows[tuple(x[i : i + n])]
         found = sorted(str(k) for k in found - {None})
         want.append((r[0], len(x), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)))
-    got = [tuple(r)[:6] for r in decontaminate.decontamination(docs, bench, max_keys=max_keys).collect()]
+    got = [tuple(r)[:6] for r in decontaminate.decontamination(docs, bench, max_keys=max_keys, max_broadcast=max_broadcast).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    clean = decontaminate.drop_contaminated(docs, bench, max_keys=max_keys)
+    clean = decontaminate.drop_contaminated(docs, bench, max_keys=max_keys, max_broadcast=max_broadcast)
     assert clean.columns == docs.columns and clean.count() == sum(not x[5] for x in want)
-    without = [tuple(r) for r in decontaminate.remove_spans(docs, bench, max_keys=max_keys).collect()]
+    without = [tuple(r) for r in decontaminate.remove_spans(docs, bench, max_keys=max_keys, max_broadcast=max_broadcast).collect()]
     left = []
     for r, x in zip(rows, want, strict=True):
         y, gone = norm(r[1]), set()
