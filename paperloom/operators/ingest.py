@@ -46,6 +46,15 @@ def ingest_report(pages: DataFrame, config: ServiceConfig = ServiceConfig()) ->
     )
 
 
+def batch_summary(report: DataFrame) -> DataFrame:
+    """One row for a batch, from ``ingest_report``: documents, successful and failed
+    ones, and the sums of the counts (0 for an empty batch)."""
+    good = F.coalesce(F.col("success"), F.lit(False)).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = ("pages_extracted", "chunks_created", "unique_chunks", "duplicates_removed")
+    return report.agg(F.count(F.lit(1)).alias("documents"), total(good).alias("successful"), total(1 - good).alias("failed"), *[total(c).alias(c) for c in counts])
+
+
 def store(pages: DataFrame, config: ServiceConfig = ServiceConfig(), embedder=None, custom: dict[str, str] | None = None) -> dict[str, int]:
     """Ingest and load a collection, made if missing."""
     collections = Collections(pages.sparkSession, config.store_path)
