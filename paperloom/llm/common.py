@@ -32,9 +32,11 @@ _MASK = (1 << 64) - 1
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``; a
-    temporary folder is set only where the session names none (tests)."""
+    temporary folder is set only where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
